@@ -53,12 +53,12 @@ QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p5_re
 
 def _orphan_sql(src: str, row_id: str, parent: str, parent_key: str) -> str:
     return f"""
-select '{src}' src_table, c.row_id, min(c.at) at,
-  case when count(p.k) = 0 then 'missing' when count(*) filter (p.received_at <= c.at) = 0 then 'late' else 'deleted' end orphan_kind
-from (select {row_id} row_id, received_at at, {sql_key("file")} k from {src}) c
+select '{src}' src_table, c.row_id, min(c.t0) t0,
+  case when count(p.k) = 0 then 'missing' when count(*) filter (p.received_at <= c.t0) = 0 then 'late' else 'deleted' end orphan_kind
+from (select {row_id} row_id, received_at t0, {sql_key("file")} k from {src}) c
 left join (select {sql_key(parent_key)} k, received_at, removed_at from {parent}) p on c.k = p.k
 where c.k is not null group by c.row_id
-having not coalesce(bool_or(p.received_at <= c.at and (p.removed_at is null or p.removed_at > c.at)), false)"""
+having not coalesce(bool_or(p.received_at <= c.t0 and (p.removed_at is null or p.removed_at > c.t0)), false)"""
 
 
 _ORPHANS = _orphan_sql("loca_2021_detections", "det_id", "loca_2021_aru_coords", "file") + " union all " + _orphan_sql("loca_2021_aru_coords", "coord_id", "recordings", "filename")
@@ -70,7 +70,7 @@ with p as (select distinct {sql_key("file")} k, x, y, case when not isnan(z) the
 select distinct a.k file_a, b.k file_b from p a join p b
 on a.k < b.k and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + coalesce((a.z - b.z) * (a.z - b.z), 0) <= 900""",
     "p5_found": f"select src_table, row_id, orphan_kind from ({_ORPHANS})",
-    "p5_report": f"select src_table, strftime(at, '%Y-%m') as month, orphan_kind, count(*) n_orphans from ({_ORPHANS}) group by 1, 2, 3",
+    "p5_report": f"select src_table, strftime(t0, '%Y-%m') as month, orphan_kind, count(*) n_orphans from ({_ORPHANS}) group by 1, 2, 3",
     "p7_found": f"""
 with v as (select {sql_key("audio_file")} audio_file, cast(round(start_time * 1000) as bigint) s, cast(round(end_time * 1000) as bigint) e
   from (select * from boxed_annotations where not isnan(start_time) and not isnan(end_time))),

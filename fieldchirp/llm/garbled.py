@@ -20,6 +20,8 @@ LEGACY = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r"
 INTENDED = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp866", "euc_jp", "shift_jis", "cp1250", "iso8859_5", "mac_cyrillic", "gb18030", "euc_kr", "big5")
 LAYERS = 4
 MARGIN = 6.0  # bits that the garbling cost must drop by
+STRICT_MARGIN = 3.0  # the same where the intended encoding is UTF-8, which text of another encoding seldom satisfies
+SURER = 1.0  # bits that the cost per feature must drop by for a single-byte or double-byte encoding
 RARE = 9.0  # a feature rarer than one in 2**9 makes a segment worth trying against single-byte encodings
 
 
@@ -108,7 +110,7 @@ def features(text: str) -> list[tuple[str, str]]:
 
 
 class Costs:
-    """Garbling cost in bits: how rare the features of a text are in the whole corpus."""
+    """Garbling cost in bits: in how few documents of the corpus the features of a text occur."""
 
     def __init__(self, counts: dict[tuple[str, str], int]) -> None:
         total = sum(counts.values()) + len(counts) + 1
@@ -131,6 +133,10 @@ class Costs:
     def __call__(self, text: str) -> float:
         return sum(self._run(r)[0] for r in _runs(text))
 
+    def mean(self, text: str) -> float:
+        """Bits per feature."""
+        return self(text) / max(sum(len(_run_features(*r)) for r in _runs(text)), 1)
+
     def rarest(self, text: str) -> float:
         """The rarest feature, but for those of typographic characters."""
         return max((self._run(r)[1] for r in _runs(text)), default=0.0)
@@ -171,8 +177,15 @@ def _repair_piece(seg: str, costs: Costs) -> tuple[str, list[str]]:
         key = tuple(_AROUND.findall(now))
         if key in costs.sound:
             break
-        best = min(((costs(c), n, c) for c, n in _candidates(now, costs)), default=None)
-        if best is None or best[0] > cost - MARGIN:
+        mean = costs.mean(now)
+        best = None
+        for c, n in _candidates(now, costs):
+            total = costs(c)
+            # Fewer but rarer characters, as when letters are paired into ideographs, restore nothing.
+            strict = n.startswith("utf-8")
+            if total <= cost - (STRICT_MARGIN if strict else MARGIN) and (best is None or (total, n) < best[:2]) and costs.mean(c) <= mean - (0.0 if strict else SURER):
+                best = (total, n, c)
+        if best is None:
             if len(costs.sound) > 100_000:
                 costs.sound.clear()
             costs.sound.add(key)
@@ -208,14 +221,14 @@ def repair(text: str, costs: Costs) -> tuple[str, list[str], bool]:
 
 
 def feature_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(before, ch, n) over whole texts of all documents."""
+    """(before, ch, n): in how many documents a feature occurs; whole texts, all documents, so one long text can't set the scale."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tally: Counter = Counter()
         for b in batches:
             for t in b[text].dropna():
                 if not t.isascii():
-                    tally.update(features(t))
+                    tally.update(set(features(t)))
         yield pd.DataFrame([(k[0], k[1], n) for k, n in tally.items()], columns=["before", "ch", "n"])
 
     part = docs.select(text).mapInPandas(count, "before string, ch string, n long")

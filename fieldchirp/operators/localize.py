@@ -140,7 +140,7 @@ def locate(events: DataFrame, method: str = "least_squares", speed: float = SPEE
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for e, xs, ys, ts in zip(b.event_id, b.xs, b.ys, b.tdoas, strict=True):
+            for e, xs, ys, ts in zip(b["event_id"], b["xs"], b["ys"], b["tdoas"], strict=True):
                 rec, t = np.column_stack([xs, ys]).astype(float), np.asarray(ts, dtype=float)
                 if len(t) < 3:
                     rows.append((e, None, None, None, len(t)))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from fieldchirp.functions.keys import clean_key
 
@@ -144,10 +147,6 @@ def merge_labels(old: DataFrame, new: DataFrame, classes: list[str], mode: str =
 
 def mlp_forward(layers: list[tuple[list[list[float]], list[float]]]):
     """Pandas UDF of a ReLU network over an embedding column: array<double> of logits."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("array<double>")
     def forward(x: pd.Series) -> pd.Series:
         if not len(x):

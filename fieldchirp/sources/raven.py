@@ -24,13 +24,15 @@ def read_selections(spark: SparkSession, path: str, label: str | int | list[str]
     """One table, or many with the same header (a folder or pattern), as an annotation table."""
     df = spark.read.option("sep", "\t").option("header", True).csv(path)
     name = _label_column(df.columns, label)
-    df = df.withColumn("annotation_file", F.col("_metadata.file_path"))
-    df = df.withColumn("annotation", F.col(f"`{name}`") if name else F.lit(None).cast("string"))
-    for old, new in FIXED.items():
-        df = df.withColumn(new, F.col(f"`{old}`").cast("double")) if old in df.columns else df.withColumn(new, F.lit(None).cast("double"))
-    df = df.drop(*[c for c in (*FIXED, name) if c and c != "annotation"]).withColumn("audio_file", F.lit(audio_file).cast("string"))
-    standard = ["audio_file", "annotation_file", "annotation", "start_time", "end_time", "low_f", "high_f"]
-    return df.select(*standard, *([c for c in df.columns if c not in standard] if keep_extra else []))
+    num = lambda old: F.col(f"`{old}`").cast("double") if old in df.columns else F.lit(None).cast("double")
+    standard = {
+        "audio_file": F.lit(audio_file).cast("string"),
+        "annotation_file": F.col("_metadata.file_path"),
+        "annotation": F.col(f"`{name}`") if name else F.lit(None).cast("string"),
+    } | {new: num(old) for old, new in FIXED.items()}
+    # column names are matched regardless of case, so an extra one may not repeat a standard one
+    extra = [c for c in df.columns if c not in FIXED and c != name and c.lower() not in standard] if keep_extra else []
+    return df.select(*[c.alias(k) for k, c in standard.items()], *[F.col(f"`{c}`") for c in extra])
 
 
 def write_selections(annotations: DataFrame, folder: str) -> None:

@@ -34,7 +34,7 @@ TIMER_COUNT = Counter("timer_count", 1000)
 
 
 def _wrap(d: np.ndarray, size: float) -> np.ndarray:
-    return (d + size / 2) % size - size / 2
+    return d - size * np.rint(d / size)
 
 
 def course(pulse: np.ndarray, value: np.ndarray, size: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,14 +66,17 @@ def course(pulse: np.ndarray, value: np.ndarray, size: int, reach: int) -> tuple
     ok = (at >= 0) & (at < n)
     at = np.clip(at, 0, n - 1)
     ok &= np.abs(pulse[at] - pulse[:, None]) <= reach
-    # relative to the reading itself, wrapped; unwrapped round the window's own middle
-    rel = _wrap(phase[at] - phase[:, None], size)
-    ang = np.where(ok, np.exp(1j * turn * rel), 0).sum(axis=1)
-    mid = np.angle(ang) / turn
-    dev = np.where(ok, _wrap(rel - mid[:, None], size), np.nan)
-    few = ok.sum(axis=1) < 3
-    local = mid + np.nanmedian(dev, axis=1)
-    res = _wrap(-local, size)
+    # The window's circular mean comes from one unit vector per reading; deviations from it are wrapped, and their middle taken.
+    unit = np.exp(1j * turn * phase)
+    mid = np.angle(np.where(ok, unit[at], 0).sum(axis=1)) / turn
+    dev = _wrap(phase[at] - mid[:, None], size)
+    dev[~ok] = np.inf
+    dev.sort(axis=1)
+    count = ok.sum(axis=1)
+    rows = np.arange(n)
+    few = count < 3
+    local = mid + (dev[rows, (count - 1) // 2] + dev[rows, count // 2]) / 2
+    res = _wrap(phase - local, size)
     res[few] = np.nan
     return res, np.full(n, rate)
 

@@ -13,9 +13,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldchirp.functions.keys import clean_key
 from fieldchirp.scratch import materialize
@@ -84,16 +85,16 @@ def course(pulse: np.ndarray, value: np.ndarray, size: int, reach: int) -> tuple
 def _stuck(pulse: np.ndarray, value: np.ndarray, rate: np.ndarray, size: int) -> np.ndarray:
     """How far the course would have moved a value since the run of equal readings began; 0 for the first."""
     n = len(pulse)
+    if not n:
+        return np.zeros(0)
     first = np.ones(n, dtype=bool)
     first[1:] = value[1:] != value[:-1]
-    begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    moved = np.zeros(n)
-    prev = np.zeros(n)
-    prev[1:] = np.abs(_wrap(np.nan_to_num(rate[1:]) * np.diff(pulse), size))
-    # the largest movement between two readings since the run began
-    run = pd.Series(np.where(first, 0.0, prev)).groupby(begin).cummax().to_numpy()
-    moved[:] = run
-    return moved
+    step = np.zeros(n)
+    step[1:] = np.abs(_wrap(np.nan_to_num(rate[1:]) * np.diff(pulse), size))
+    step[first] = 0
+    # The largest step since the run began: each run is lifted above the one before it.
+    lift = np.cumsum(first) * float(size)
+    return np.maximum.accumulate(step + lift) - lift
 
 
 def residuals(points: DataFrame, counters: tuple[Counter, ...], source: str = "source", pulse: str = "pulse", reach: int = 20, block: int = 1024) -> DataFrame:
@@ -108,22 +109,26 @@ def residuals(points: DataFrame, counters: tuple[Counter, ...], source: str = "s
     blocked = points.withColumn("block", F.explode(F.sequence(lo, hi)))
     cols = [c.column for c in counters]
 
-    def fold(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values([pulse, *cols], kind="stable")
-        p = b[pulse].to_numpy(np.int64)
-        out = b[[source, pulse, *cols]].copy()
-        for c in counters:
-            known = b[c.column].notna().to_numpy()
-            res, moved, rates = np.full(len(b), np.nan), np.zeros(len(b)), np.full(len(b), np.nan)
-            v = b[c.column].to_numpy(np.float64)[known]
-            res[known], rates[known] = course(p[known], v, c.size, reach)
-            moved[known] = _stuck(p[known], v, rates[known], c.size)
-            out[f"{c.column}_res"], out[f"{c.column}_moved"] = res, moved
-        return out[p // block == key[1]]
-
-    kept = ", ".join(f"{n} {t}" for n, t in points.select(source, pulse, *cols).dtypes)
-    added = ", ".join(f"{c}_res double, {c}_moved double" for c in cols)
-    return blocked.groupBy(source, "block").applyInPandas(fold, f"{kept}, {added}")
+    kept = points.select(source, pulse, *cols).schema
+
+    def fold(key: tuple, t: pa.Table) -> pa.Table:
+        p = t[pulse].to_numpy()
+        values = [t[c].to_numpy().astype(np.float64) for c in cols]  # nulls become NaN
+        order = np.lexsort((*reversed(values), p))
+        p = p[order]
+        own = p // block == key[1].as_py()
+        out = t.select([source, pulse, *cols]).take(pa.array(order[own]))
+        for c, v in zip(counters, values, strict=True):
+            v = v[order]
+            known = ~np.isnan(v)
+            res, moved = np.full(len(p), np.nan), np.zeros(len(p))
+            res[known], rates = course(p[known], v[known], c.size, reach)
+            moved[known] = _stuck(p[known], v[known], rates, c.size)
+            out = out.append_column(f"{c.column}_res", pa.array(res[own])).append_column(f"{c.column}_moved", pa.array(moved[own]))
+        return out
+
+    added = [T.StructField(f"{c}_{n}", T.DoubleType()) for c in cols for n in ("res", "moved")]
+    return blocked.groupBy(source, "block").applyInArrow(fold, T.StructType([*(T.StructField(f.name, f.dataType) for f in kept.fields), *added]))
 
 
 def tail_cutoffs(res: DataFrame, column: str, source: str = "source", tail: float = 0.1, risk: float = 1e-6, gross: float = 8.0, pool: float = 200.0, grain: float = 1.0) -> DataFrame:

@@ -165,7 +165,7 @@ def _candidates(seg: str, costs: Costs) -> Iterator[tuple[str, str]]:
 
 
 _SEGMENT = re.compile(r"[^\n.!?。！？]*(?:[\n.!?。！？]+|$)\s*")
-_ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}|#\d{2,5}|#x[0-9A-Fa-f]{2,4});")
+_ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,8}|#\d{2,5}|#x[0-9A-Fa-f]{2,4});")
 _LOST = re.compile("�")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,6 +23,7 @@ LAYERS = 4
 MARGIN = 6.0  # bits that the garbling cost must drop by
 STRICT_MARGIN = 3.0  # the same where the intended encoding is UTF-8, which text of another encoding seldom satisfies
 SURER = 1.0  # bits that the cost per feature must drop by for a single-byte or double-byte encoding
+STRICT_CHARS = 3  # multi-byte characters of a strict UTF-8 round trip that prove a garbling whatever the corpus holds
 RARE = 9.0  # a feature rarer than one in 2**9 makes a segment worth trying against single-byte encodings
 
 
@@ -39,7 +41,8 @@ class Legacy:
         self.table = {c: 0xFFFF for c in range(128, 256)} | {ord(c): 128 + i for i, c in enumerate(chars)}
         cls = lambda lo, hi: "[" + re.escape("".join(chars[lo - 128 : hi - 127])) + "]"
         cont = cls(0x80, 0xBF)
-        self.utf8 = re.compile(f"(?:{cls(0xF0, 0xF4)}{cont}{{3}}|{cls(0xE0, 0xEF)}{cont}{{2}}|{cls(0xC2, 0xDF)}{cont})+")
+        one = f"(?:{cls(0xF0, 0xF4)}{cont}{{3}}|{cls(0xE0, 0xEF)}{cont}{{2}}|{cls(0xC2, 0xDF)}{cont})"
+        self.one, self.utf8 = re.compile(one), re.compile(f"{one}+")
 
     def encode(self, text: str) -> bytes | None:
         try:
@@ -59,6 +62,17 @@ class Legacy:
 
         return self.utf8.sub(fix, text)
 
+    def is_utf8(self, text: str) -> bool:
+        """Whether all that isn't ASCII in the text is UTF-8 read in this encoding, beyond chance: every byte takes part, and enough characters aren't mere typesetting."""
+        raw = self.encode(text)
+        try:
+            if raw is None or not all(unicodedata.category(c)[0] in "LMNPSZ" for c in raw.decode("utf-8") if c > "\x7f"):
+                return False
+        except UnicodeDecodeError:
+            return False
+        held = [m[0] for m in self.one.finditer(text) if not TYPOGRAPHIC.issuperset(m[0][1:])]
+        return len(held) >= STRICT_CHARS and len(set(held)) > 1
+
 
 @lru_cache(1)
 def _legacies() -> dict[str, Legacy]:
@@ -183,7 +197,10 @@ def _repair_piece(seg: str, costs: Costs) -> tuple[str, list[str]]:
             total = costs(c)
             # Fewer but rarer characters, as when letters are paired into ideographs, restore nothing.
             strict = n.startswith("utf-8")
-            if total <= cost - (STRICT_MARGIN if strict else MARGIN) and (best is None or (total, n) < best[:2]) and costs.mean(c) <= mean - (0.0 if strict else SURER):
+            if strict and _legacies()[n[6:]].is_utf8(now):
+                if best is None or (total, n) < best[:2]:
+                    best = (total, n, c)
+            elif total <= cost - (STRICT_MARGIN if strict else MARGIN) and (best is None or (total, n) < best[:2]) and costs.mean(c) <= mean - (0.0 if strict else SURER):
                 best = (total, n, c)
         if best is None:
             if len(costs.sound) > 100_000:
@@ -221,17 +238,23 @@ def repair(text: str, costs: Costs) -> tuple[str, list[str], bool]:
 
 
 def feature_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(before, ch, n): in how many documents a feature occurs; whole texts, all documents, so one long text can't set the scale."""
+    """(before, ch, n): in how many distinct texts a feature occurs, so neither a long text nor one posted again and again sets the scale.
+
+    Copies add one only each time their number doubles.  Equal texts meet by a
+    hash of the whole text; only texts that aren't ASCII travel.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tally: Counter = Counter()
         for b in batches:
-            for t in b[text].dropna():
-                if not t.isascii():
-                    tally.update(set(features(t)))
+            for t, weight in zip(b[text], b["weight"], strict=True):
+                for f in set(features(t)):
+                    tally[f] += weight
         yield pd.DataFrame([(k[0], k[1], n) for k, n in tally.items()], columns=["before", "ch", "n"])
 
-    part = docs.select(text).mapInPandas(count, "before string, ch string, n long")
+    told = docs.select(F.col(text)).where(F.col(text).rlike(r"[^\x00-\x7f]"))
+    once = told.groupBy(F.xxhash64(text).alias("hash"), F.crc32(F.encode(text, "utf-8")).alias("crc")).agg(F.first(text).alias(text), (1 + F.floor(F.log2(F.count("*")))).cast("long").alias("weight")).select(text, "weight")
+    part = once.mapInPandas(count, "before string, ch string, n long")
     return part.groupBy("before", "ch").agg(F.sum("n").alias("n"))
 
 
@@ -242,10 +265,12 @@ def garbled_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     re-encoded under every legacy encoding and strictly decoded in every
     intended one; a candidate is accepted when the garbling cost drops, and
     the step repeated for nested layers.  The cost is how rare a character is
-    after its neighbour in the corpus as a whole.  ``complete`` is false where
+    after its neighbour in the distinct texts of the corpus.  A piece that is
+    UTF-8 throughout when re-encoded, with ``STRICT_CHARS`` characters or more,
+    is garbled whatever the corpus holds.  ``complete`` is false where
     characters were lost for good (replacement characters stay).
 
-    The counts that set the cost are over all documents and have at most ten
+    The counts that set the cost are over all distinct texts and have at most ten
     kinds times the Unicode characters, whatever the corpus; that is why they
     may be sent to every task.  Null and ASCII texts are never garbled, an
     empty table gives none, repeated rows are judged each for itself.

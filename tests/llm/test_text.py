@@ -96,3 +96,24 @@ def test_garbled_round_trip(spark):
     assert {i: r.restored for i, r in got.items()} == want
     assert not got[n + 2].complete and got[n].complete
     assert garbled_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_copies_of_a_garbled_post_are_found(spark):
+    sound = [(i, f"{t} {i}") for i, t in enumerate(SOUND[:7] * 80)]
+    for good, meant, read in ((SOUND[1], "utf-8", "latin-1"), (SOUND[0], "utf-8", "cp1252"), (SOUND[2], "cp1251", "koi8_r"), (SOUND[0], "cp1252", "mac_roman")):
+        bad = good.encode(meant).decode(read)
+        copies = [(1000 + i, bad) for i in range(280)]  # a third of the rows
+        got = {r.doc_id: r.restored for r in garbled_texts(spark.createDataFrame(sound + copies, "doc_id long, text string")).collect()}
+        assert got == {i: good for i, _ in copies}, (meant, read)
+    # copies that differ are as many texts; strict UTF-8 is evidence of its own
+    bad = SOUND[1].encode().decode("latin-1")
+    near = [(1000 + i, f"{bad} #{i}") for i in range(280)]
+    got = {r.doc_id: r.restored for r in garbled_texts(spark.createDataFrame(sound + near, "doc_id long, text string")).collect()}
+    assert got == {i: f"{SOUND[1]} #{i - 1000}" for i, _ in near}
+
+
+def test_sound_text_is_not_strict_utf8():
+    from fieldchirp.llm.garbled import _legacies
+
+    for t in [*SOUND, "à\u00a0«\u00a0là\u00a0» à\u00a0«\u00a0là\u00a0»", "СССР» и СССР…", "┌──┬──┐\n│ a│ b│\n└──┴──┘"]:
+        assert not any(x.is_utf8(t) for x in _legacies().values()), t

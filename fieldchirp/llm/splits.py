@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldchirp.functions.keys import clean_key
 from fieldchirp.operators.rangescan import running
 from fieldchirp.scratch import materialize
+from fieldchirp.session import shuffle_partitions
 
 UNIT = 10_000  # times are counted in tenths of a millisecond
-CHUNK = 512
+CHUNK = 64  # starts of a file that are probed together; a multiple of four
+PROBED = 250_000  # starts that a task probes with
+REACH = 1200 * UNIT  # least width of the spans of time that a larger file is cut into
+SLICE = 1_000_000  # pairs of starts met at once
 
 
 def start_points(detections: DataFrame) -> DataFrame:
@@ -21,81 +27,146 @@ def start_points(detections: DataFrame) -> DataFrame:
     return detections.select(clean_key("file").alias("file"), F.when(~F.isnan(t), F.round(t * UNIT).cast("long")).alias("t")).where("file is not null and t is not null").distinct()
 
 
-def same_recording_pairs(detections: DataFrame, min_starts: int = 11, share: float = 0.7, tolerance: float = 0.01, window: int = 6, partitions: int | None = None) -> DataFrame:
+def _meet(probes: pd.DataFrame, starts: pd.DataFrame, width: int, tol: int, share: float) -> pd.DataFrame:
+    """Shifts that bring three starts of a block of four upon starts of a larger file, one per (small, large, slot).
+
+    Of any three of a, b, c, d two are the pair (a, b) or (c, d): pairs of
+    starts of the larger files are met by their gap, the third by search.  A
+    shift is dropped once more starts of the chunk fail than may fail in all.
+    """
+    none = pd.DataFrame({"small": pd.Series(dtype=str), "large": pd.Series(dtype=str), "slot": pd.Series(dtype="int64"), "shift": pd.Series(dtype="int64")})
+    if probes.empty or starts.empty:
+        return none
+    unit, _ = pd.factorize(pd.MultiIndex.from_frame(starts[["file", "bucket"]]))
+    place = unit.astype(np.int64) * 4 * width + (starts["t"] - (starts["bucket"] - 1) * width).to_numpy()
+    order = np.argsort(place)
+    place, starts = place[order], starts.iloc[order]
+    t, core, n_large, large = starts["t"].to_numpy(), starts["core"].to_numpy(), starts["n"].to_numpy(), starts["file"].to_numpy()
+    size = probes["ts"].map(len).to_numpy()
+    ts, at_row = np.concatenate(probes["ts"].to_list()), np.cumsum(size) - size
+    fours = size // 4
+    row = np.repeat(np.arange(len(size)), fours)
+    block = at_row[row] + 4 * (np.arange(len(row)) - np.repeat(np.cumsum(fours) - fours, fours))
+    q = {c: ts[block + i] for i, c in enumerate("abcd")}
+    gap = np.concatenate([q["b"] - q["a"], q["d"] - q["c"]])
+    base = np.concatenate([q["a"], q["c"]])
+    thirds = np.concatenate([q["c"], q["a"]]) - base, np.concatenate([q["d"], q["b"]]) - base
+    row = np.tile(row, 2)
+    n_small, small = probes["n"].to_numpy()[row], probes["file"].to_numpy()[row]
+    spare = n_small - np.ceil(n_small * share - 1e-9).astype(np.int64)
+
+    def near(due: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(place, due - 2 * tol, "left")
+        return (k < len(place)) & (place[np.minimum(k, len(place) - 1)] <= due + 2 * tol)
+
+    # Two starts of the small file may meet one of the larger, or two in turned order, so gaps begin at -2 tol.
+    one = np.flatnonzero(core)
+    lo = np.searchsorted(place, place[one] - 2 * tol, "left")
+    many = np.searchsorted(place, place[one] + gap.max() + 2 * tol, "right") - lo
+    first = np.repeat(one, many)
+    second = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+    between = place[second] - place[first]
+    by_gap = np.argsort(between)
+    between, first = between[by_gap], first[by_gap]
+
+    lo = np.searchsorted(between, gap - 2 * tol, "left")
+    many = np.searchsorted(between, gap + 2 * tol, "right") - lo
+    upto = np.cumsum(many)
+    found, at = [], 0
+    while at < len(gap):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE, "right")))
+        m = many[at:end]
+        mine = np.repeat(np.arange(at, end), m)
+        theirs = first[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[at:end], m)]
+        at = end
+        more = n_large[theirs] - n_small[mine]
+        keep = more > 0
+        ties = np.flatnonzero(more == 0)
+        keep[ties] = small[mine[ties]] < large[theirs[ties]]
+        mine, theirs = mine[keep], theirs[keep]
+        ok = np.zeros(len(mine), dtype=bool)
+        for third in thirds:
+            ok |= near(place[theirs] + third[mine])
+        mine, theirs = mine[ok], theirs[ok]
+        m = size[row[mine]]
+        which = np.repeat(np.arange(len(mine)), m)
+        away = ts[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(at_row[row[mine]], m)] - base[mine[which]]
+        within = np.abs(away) <= width - 4 * tol  # beyond the margins nothing can be said here
+        which, away = which[within], away[within]
+        ok = np.bincount(which[~near(place[theirs[which]] + away)], minlength=len(mine)) <= spare[mine]
+        mine, theirs = mine[ok], theirs[ok]
+        shift = t[theirs] - base[mine]
+        found.append(pd.DataFrame({"small": small[mine], "large": large[theirs], "slot": shift // (4 * tol), "shift": shift}).drop_duplicates(["small", "large", "slot"]))
+    return pd.concat(found).drop_duplicates(["small", "large", "slot"]) if found else none
+
+
+def same_recording_pairs(detections: DataFrame, min_starts: int = 11, share: float = 0.7, tolerance: float = 0.01, partitions: int | None = None) -> DataFrame:
     """Pairs of file keys that hold the same recording: file_a < file_b, n_common, shift (seconds).
 
     Two files hold the same recording when each has at least ``min_starts``
     distinct start times and ``share`` of those of the file with fewer recur
     in the other within ``tolerance`` seconds, directly or after one shift.
 
-    Candidates come from sequences of four starts out of ``window``
-    consecutive ones, known by their three gaps, which no shift changes.  At a
-    share of 0.7 four of six consecutive starts of the smaller file always
-    recur; the pair is found if they lie within ``window`` consecutive starts
-    of the other file as well, that is, unless a file holds so many starts
-    more that no four common ones stand that close anywhere.  Candidates are
-    verified over all starts, in integers.
-
-    A file of any length is cut into chunks of bounded size that overlap by a
-    window; no group is collected.  Null and NaN keys or times take no part;
-    repeated rows count once; an empty table gives no pairs.
+    No pair is missed, whatever else the larger file holds.  The starts of a
+    file are cut into blocks of four.  With k starts that needn't recur,
+    k // 2 + 1 blocks can't all lack two or more, so one of them has three
+    that recur: blocks are probed, by three starts each, against all pairs of
+    starts at the same gap in files with as many starts or more.  The shifts
+    so found are verified over all starts, in integers.
+    ``ValueError`` where ``share`` and ``min_starts`` leave too few blocks.
+
+    A larger file is cut into spans of time as wide as the widest probe, with
+    margins; no file is collected.  The work grows with the number of pairs of
+    files that could be meant, that is, with the square of the rows.  Null and
+    NaN keys or times take no part; repeated rows count once; an empty table
+    gives no pairs.
     """
+    spare_of = lambda n: n - math.ceil(n * share - 1e-9)
+    if share <= 0.5 or any(2 * (n // 4) <= spare_of(n) for n in range(min_starts, min_starts + math.ceil(2 / (share - 0.5)) + 4)):
+        raise ValueError("share and min_starts leave no block of four with three common starts for certain")
     tol = round(tolerance * UNIT)
     points = start_points(detections)
+    spark = detections.sparkSession
+    parts = partitions or shuffle_partitions(spark)
     placed = running(points.withColumn("one", F.lit(1).cast("long")), ["file"], ["t"], {"pos": "one"}, partitions=partitions, name="starts").drop("one")
     counts = placed.groupBy("file").agg(F.max("pos").alias("n")).where(F.col("n") >= min_starts)
     placed = materialize(placed.join(counts, "file"), "starts")
-    cells = 16 * tol
+    most = [r[0] for r in placed.where("pos = 1").orderBy(F.col("n").desc()).limit(2).select("n").collect()]
+    if len(most) < 2:
+        return spark.createDataFrame([], "file_a string, file_b string, n_common long, shift double")
+
+    # A file longer than all others has none to be found in.
+    chunks = placed.where(F.col("n") <= most[1]).groupBy("file", "n", F.floor((F.col("pos") - 1) / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list("t")).alias("ts")).where(F.size("ts") >= 4)
+    probes = materialize(chunks, "probes")
+    span = lambda i: F.col("ts")[4 * i + 3] - F.col("ts")[4 * i]
+    n_probed, widest = probes.agg(F.sum(F.size("ts")), F.max(F.array_max(F.transform(F.sequence(F.lit(0), (F.floor(F.size("ts") / 4) - 1).cast("int")), span)))).first()
+    width = max(widest + 4 * tol, REACH)
+    p, q = 1 + n_probed // PROBED, 2 * parts
+    bucket = F.floor(F.col("t") / width)
+    starts = placed.select("file", "n", "t", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"), bucket.alias("own"))
+    starts = starts.select("file", "n", "t", "bucket", (F.col("own") == F.col("bucket")).alias("core"), F.pmod(F.xxhash64("file", "bucket"), F.lit(q)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("p"))
+    sent = probes.select("file", "n", "ts", F.pmod(F.xxhash64("file", "chunk"), F.lit(p)).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("q"))
+    met = sent.groupBy("p", "q").cogroup(starts.groupBy("p", "q")).applyInPandas(lambda a, b: _meet(a, b, width, tol, share), "small string, large string, slot long, shift long")
+    # One candidate per pair and shift, to four tolerances.
+    cand = materialize(met.groupBy("small", "large", "slot").agg(F.min("shift").alias("shift")), "shifts")
 
-    # Windows of bounded size: the first rows of a chunk are also the end of the one before.
-    p0 = F.col("pos") - 1
-    chunked = placed.withColumn("chunk", F.explode(F.sequence(F.floor(F.greatest(p0 - (window - 1), F.lit(0)) / CHUNK), F.floor(p0 / CHUNK))))
-    w = Window.partitionBy("file", "chunk").orderBy("pos")
-    led = chunked.select("file", "chunk", "pos", "t", *[F.lead("t", i).over(w).alias(f"t{i}") for i in range(1, window)])
-    led = led.where(F.floor((F.col("pos") - 1) / CHUNK) == F.col("chunk"))
-    quads = F.array(*[F.struct(F.col(f"t{i}").alias("u1"), F.col(f"t{j}").alias("u2"), F.col(f"t{k}").alias("u3")) for i, j, k in combinations(range(1, window), 3)])
-    quad = led.select("file", "t", F.explode(quads).alias("q")).where("q.u3 is not null")
-    quad = quad.select("file", "t", (F.col("q.u1") - F.col("t")).alias("g1"), (F.col("q.u2") - F.col("q.u1")).alias("g2"), (F.col("q.u3") - F.col("q.u2")).alias("g3"))
-    cell = lambda c: F.floor(c / cells)
-    index = quad.withColumn("key", F.xxhash64(cell(F.col("g1")), cell(F.col("g2")), cell(F.col("g3")))).select(
-        F.col("file").alias("fa"), F.col("t").alias("ta"), *[F.col(f"g{i}").alias(f"h{i}") for i in (1, 2, 3)], "key"
-    )
-    probe = quad
-    for i in (1, 2, 3):
-        # a gap may differ by twice the tolerance, which seldom reaches the next cell
-        probe = probe.withColumn(f"c{i}", F.explode(F.sequence(cell(F.col(f"g{i}") - 2 * tol), cell(F.col(f"g{i}") + 2 * tol))))
-    probe = probe.withColumn("key", F.xxhash64("c1", "c2", "c3")).drop("c1", "c2", "c3")
-    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 2 * tol
-    met = index.join(probe, "key").where((F.col("fa") < F.col("file")) & near("g1", "h1") & near("g2", "h2") & near("g3", "h3"))
-    shift = F.col("t") - F.col("ta")
-    # One candidate per pair and shift, to four tolerances; a shift near an edge is tried in both.
-    cand = (
-        met.select("fa", F.col("file").alias("fb"), shift.alias("shift"))
-        .groupBy("fa", "fb", F.floor(F.col("shift") / (4 * tol)).alias("slot"))
-        .agg(F.avg("shift").cast("long").alias("shift"))
-    )
-    na = counts.select(F.col("file").alias("fa"), F.col("n").alias("na"))
-    nb = counts.select(F.col("file").alias("fb"), F.col("n").alias("nb"))
-    cand = cand.join(na, "fa").join(nb, "fb")
-    flip = F.col("na") > F.col("nb")
-    cand = cand.select(
-        "fa", "fb", "slot", F.when(flip, F.col("fb")).otherwise(F.col("fa")).alias("small"), F.when(flip, F.col("fa")).otherwise(F.col("fb")).alias("large"),
-        F.when(flip, -F.col("shift")).otherwise(F.col("shift")).alias("shift"), F.least("na", "nb").alias("n"), flip.alias("flip"),
-    )
     reach = 8 * tol
-    ours = cand.join(placed.select(F.col("file").alias("small"), "t"), "small").withColumn("due", F.col("t") + F.col("shift"))
-    ours = ours.withColumn("cell", F.explode(F.sequence(F.floor((F.col("due") - reach) / (16 * tol)), F.floor((F.col("due") + reach) / (16 * tol)))))
-    theirs = placed.select(F.col("file").alias("large"), F.col("t").alias("tl"), F.floor(F.col("t") / (16 * tol)).alias("cell"))
+    cells = 16 * tol
+    ours = cand.join(placed.select(F.col("file").alias("small"), "n", "t"), "small").withColumn("due", F.col("t") + F.col("shift"))
+    ours = ours.withColumn("cell", F.explode(F.sequence(F.floor((F.col("due") - reach) / cells), F.floor((F.col("due") + reach) / cells))))
+    theirs = placed.select(F.col("file").alias("large"), F.col("t").alias("tl"), F.floor(F.col("t") / cells).alias("cell"))
     hit = ours.join(theirs, ["large", "cell"]).where(F.abs(F.col("tl") - F.col("due")) <= reach)
-    group = ["fa", "fb", "slot", "n", "flip"]
-    best = hit.groupBy(*group, "t").agg(F.min_by(F.col("tl") - F.col("t"), F.struct(F.abs(F.col("tl") - F.col("due")), "tl")).alias("d"))
-    # The shifts that hold for most starts: a range of twice the tolerance over a bounded number of distinct values.
-    tally = best.groupBy(*group, "d").agg(F.count("*").alias("k"))
-    span = Window.partitionBy(*group).orderBy("d").rangeBetween(0, 2 * tol)
-    most = tally.withColumn("m", F.sum("k").over(span)).groupBy("fa", "fb", "n", "flip").agg(F.max("m").alias("n_common"), F.max_by("d", "m").alias("d"))
-    sign = F.when(F.col("flip"), -1.0).otherwise(1.0)
-    return most.where(F.col("n_common") >= F.ceil(F.col("n") * share - 1e-9)).select(
-        F.col("fa").alias("file_a"), F.col("fb").alias("file_b"), "n_common", (sign * (F.col("d") + tol) / UNIT).alias("shift")
+    group = ["small", "large", "n", "slot"]
+    hit = hit.select(*group, "t", (F.col("tl") - F.col("t")).alias("d"))
+    # A start recurs for every lower end of a range of twice the tolerance from d - 2 tol to d; its ranges are cut so that it counts once.
+    after = F.lead("d").over(Window.partitionBy(*group, "t").orderBy("d"))
+    edges = F.array(F.struct((F.col("d") - 2 * tol).alias("at"), F.lit(1).alias("k")), F.struct((F.least(F.col("d"), F.col("after") - 2 * tol - 1) + 1).alias("at"), F.lit(-1).alias("k")))
+    tally = hit.withColumn("after", after).select(*group, F.inline(edges)).groupBy(*group, "at").agg(F.sum("k").alias("k"))
+    held = tally.withColumn("m", F.sum("k").over(Window.partitionBy(*group).orderBy("at")))
+    best = held.groupBy("small", "large", "n").agg(F.max("m").alias("n_common"), F.max_by("at", F.struct("m", "at")).alias("d"))
+    turned = F.col("small") > F.col("large")
+    return best.where(F.col("n_common") >= F.ceil(F.col("n") * share - 1e-9)).select(
+        F.least("small", "large").alias("file_a"), F.greatest("small", "large").alias("file_b"), "n_common", (F.when(turned, -1.0).otherwise(1.0) * (F.col("d") + tol) / UNIT).alias("shift")
     )
 
 

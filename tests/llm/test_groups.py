@@ -93,6 +93,27 @@ def test_pairs_and_splits(spark):
     assert 0.7 < share < 0.9
 
 
+def test_pairs_where_the_larger_file_holds_far_more(spark):
+    rng = random.Random(11)
+    rows, want = [], set()
+    for i, (n, ratio) in enumerate([(11, 2), (11, 5), (11, 10), (60, 5), (12, 40), (15, 3), (23, 10)]):
+        small = sorted(rng.uniform(0, 900) for _ in range(n))
+        kept = rng.sample(small, -(-7 * n // 10))
+        large = [t + 31.7 + rng.uniform(-0.004, 0.004) for t in kept] + [rng.uniform(0, 950) for _ in range(n * ratio - len(kept))]
+        # half of them contained in one far longer file
+        name = "long" if i % 2 else f"l{i}"
+        rows += [(f"s{i}", t) for t in small] + [(name, t + (5000 * i if i % 2 else 0)) for t in large]
+        want.add((name, f"s{i}") if name < f"s{i}" else (f"s{i}", name))
+    # starts so close that two meet one, or one meets two
+    near = [t + d for t in (1, 40, 90, 170, 260, 340, 500) for d in (0, 0.012)]
+    rows += [("near", t) for t in near] + [("near2", t + 3 + rng.choice([0, 0.006])) for t in near] + [("near2", 3000 + i) for i in range(30)]
+    rows = [(i, f, round(float(t), 3)) for i, (f, t) in enumerate(rows)]
+    brute = _brute(rows)
+    assert want <= brute
+    got = {(r.file_a, r.file_b) for r in same_recording_pairs(spark.createDataFrame(rows, "det_id long, file string, start_time double")).collect()}
+    assert got == brute
+
+
 def test_contraction(spark):
     rng = random.Random(10)
     edges = [(f"v{i}", f"v{i + 1}") for i in range(40)] + [("hub", f"h{i}") for i in range(60)] + [(f"a{rng.randrange(30)}", f"a{rng.randrange(30)}") for _ in range(25)] + [("x", None), ("x", "x"), ("v0", "v1")]

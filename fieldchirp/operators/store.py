@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from fieldchirp.functions.keys import clean_key
+from fieldchirp.session import shuffle_partitions
 
 WINDOW_KEY = ["file", "start_time", "end_time"]
 
@@ -100,6 +101,42 @@ def similarity_many(windows: DataFrame, queries: list[tuple[int, list[float]]],
     return out
 
 
+def _best_in_block(queries: pd.DataFrame, windows: pd.DataFrame, k: int, digits: int) -> pd.DataFrame:
+    """The ``k`` best of these windows for each of these queries."""
+    none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "window_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+    if queries.empty or windows.empty:
+        return none
+    stack = lambda v: np.stack([np.asarray(x, dtype=np.float64) for x in v])
+    ids, scale, out = windows["window_id"].to_numpy(), 10.0**digits, []
+    for query, s in zip(queries["query_id"], stack(queries["vector"]) @ stack(windows["vector"]).T, strict=True):
+        s = np.trunc(s * scale + np.copysign(0.5, s)) / scale
+        best = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
+        best = best[np.lexsort((ids[best], -s[best]))][:k]
+        out.append(pd.DataFrame({"query_id": query, "window_id": ids[best], "score": s[best]}))
+    return pd.concat(out)
+
+
+def similarity_join(windows: DataFrame, queries: DataFrame, k: int = 5, digits: int = 6, block: int = 256, rows: int = 20_000) -> DataFrame:
+    """Top ``k`` windows of every row of ``queries`` (query_id, vector), however many: query_id, window_id, score, rank; ties by id.
+
+    Every query meets every window: tasks hold some ``block`` queries and
+    ``rows`` windows and keep the best ``k`` a query, which are merged
+    afterwards.  Neither table comes to the driver; the work grows with the
+    product of both.  Null vectors and those that hold null or NaN have no score.
+    """
+    sound = lambda v: v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
+    whole = lambda c: F.transform(c, lambda x: x.cast("double"))
+    a = queries.select("query_id", whole("vector").alias("vector")).where(sound(F.col("vector")))
+    b = windows.select("window_id", whole("embedding").alias("vector")).where(sound(F.col("vector")))
+    p, q = 1 + a.count() // block, max(1 + b.count() // rows, shuffle_partitions(windows.sparkSession))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    a = a.select("query_id", "vector", part("query_id", p).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("q"))
+    b = b.select("window_id", "vector", part("window_id", q).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("p"))
+    best = a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInPandas(lambda x, y: _best_in_block(x, y, k, digits), "query_id long, window_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "window_id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def class_scores(windows: DataFrame, weights: dict[str, list[float]], bias: dict[str, float] | None = None, digits: int = 6) -> DataFrame:
     """Linear classifier over embeddings, long: (window columns but the embedding, class, score)."""
     pairs = F.array(*[F.struct(F.lit(c).alias("class"), F.round(dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in w])) + F.lit(float((bias or {}).get(c, 0.0))), digits).alias("score")) for c, w in weights.items()])

@@ -479,6 +479,15 @@ def similarity_many_queries(s, d):
     return store.similarity_many(_windows(s, d), [(k, w) for k, w in enumerate(WEIGHTS.values())], 7)
 
 
+@query(
+    "with q as (select vec_id query_id, cast(embedding as double[]) e from embeddings where vec_id % 100 = 0), s as (select query_id, vec_id window_id, round(list_dot_product(e, cast(embedding as double[])), 6) score from q, embeddings),"
+    " r as (select *, row_number() over (partition by query_id order by score desc, window_id) k from s) select query_id, window_id, score, cast(k as integer) as \"rank\" from r where k <= 7"
+)
+def similarity_row_queries(s, d):
+    w = _windows(s, d)
+    return store.similarity_join(w, w.where("window_id % 100 = 0").select(F.col("window_id").alias("query_id"), F.col("embedding").alias("vector")), 7)
+
+
 _SEL = "select class, window_id, score, cast(k as integer) as \"rank\" from r where k <= {}"
 
 

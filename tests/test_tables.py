@@ -165,3 +165,27 @@ def test_kernel_queries_run(spark):
         assert q[name](spark, "/root/testdata/sf0.001").count() == 500
     r = q["localize_least_squares"](spark, "/root/testdata/sf0.001").where("px is not null").agg(F.avg(F.col("residual_rms"))).first()[0]
     assert not math.isnan(r) and r < 0.5
+
+
+def test_similarity_of_many_rows(spark):
+    import numpy as np
+
+    from fieldchirp.operators import store
+
+    rng = np.random.default_rng(12)
+    v = rng.integers(-3, 4, (900, 6)).astype(float)  # many equal scores
+    w = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [float("nan")] * 6)], "window_id long, embedding array<float>")
+    q = w.where("window_id % 3 = 0 or window_id > 890").selectExpr("window_id query_id", "embedding vector")
+    want = {(i, j, r) for i in range(900) if i % 3 == 0 or i > 890 for r, j in enumerate(np.lexsort((np.arange(900), -(v @ v[i])))[:7].tolist(), 1)}
+    for block, rows in ((64, 100), (256, 20_000)):
+        assert {(r.query_id, r.window_id, r["rank"]) for r in store.similarity_join(w, q, 7, block=block, rows=rows).collect()} == want
+    assert len(store.similarity_join(w.limit(3), q.limit(5), 7).collect()) == 15
+    assert store.similarity_join(w, q.limit(0), 7).count() == 0 and store.similarity_join(w.limit(0), q, 7).count() == 0
+
+
+def test_rows_are_searched_as_queries(spark):
+    from fieldchirp.plans.catalog import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 100 = 0").count()
+    assert QUERIES["similarity_row_queries"](spark, d).count() == 7 * n

@@ -20,6 +20,7 @@ from fieldchirp.scratch import materialize
 LEGACY = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp866", "cp1250", "iso8859_2", "iso8859_15", "cp1254", "cp1253", "iso8859_5", "mac_cyrillic", "iso8859_7")
 INTENDED = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp866", "euc_jp", "shift_jis", "cp1250", "iso8859_5", "mac_cyrillic", "gb18030", "euc_kr", "big5")
 LAYERS = 4
+ESCAPES = 16  # times that a text may have been escaped
 MARGIN = 6.0  # bits that the garbling cost must drop by
 STRICT_MARGIN = 3.0  # the same where the intended encoding is UTF-8, which text of another encoding seldom satisfies
 SURER = 1.0  # bits that the cost per feature must drop by for a single-byte or double-byte encoding
@@ -214,17 +215,27 @@ def _repair_piece(seg: str, costs: Costs) -> tuple[str, list[str]]:
 
 def repair(text: str, costs: Costs) -> tuple[str, list[str], bool]:
     """(text as far as it can be restored, encodings undone, whether garbling is left)."""
-    steps: list[str] = []
     if _ENTITY.search(text):
         # Garbled text that was escaped afterwards: unescape only if that brings a garbling to light.
-        bare = _ENTITY.sub(lambda m: html.unescape(m[0]), text)
-        fixed, more, _ = repair(bare, costs) if not _ENTITY.search(bare) else (bare, [], False)
-        if more:
-            return fixed, ["html", *more], "�" in fixed
+        # Text escaped more than once takes as many rounds.
+        bare, rounds = text, []
+        while _ENTITY.search(bare) and len(rounds) < ESCAPES:
+            once = _ENTITY.sub(lambda m: html.unescape(m[0]), bare)
+            if once == bare:
+                break
+            bare, rounds = once, [*rounds, "html"]
+            fixed, more, lost = _repair_bare(bare, costs)
+            if more:
+                return fixed, [*rounds, *more], lost
+    return _repair_bare(text, costs)
+
+
+def _repair_bare(text: str, costs: Costs) -> tuple[str, list[str], bool]:
+    """``repair`` of a text as it stands, entities and all."""
     if text.isascii():
-        return text, steps, False
+        return text, [], False
     if not _any_utf8().search(text) and costs.rarest(text) <= RARE:
-        return text, steps, bool(_LOST.search(text))
+        return text, [], bool(_LOST.search(text))
     # The whole text first: what is garbled throughout gives the most evidence at once.
     whole, steps = _repair_piece(text, costs)
     out = []

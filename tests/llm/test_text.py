@@ -117,3 +117,14 @@ def test_sound_text_is_not_strict_utf8():
 
     for t in [*SOUND, "à\u00a0«\u00a0là\u00a0» à\u00a0«\u00a0là\u00a0»", "СССР» и СССР…", "┌──┬──┐\n│ a│ b│\n└──┴──┘"]:
         assert not any(x.is_utf8(t) for x in _legacies().values()), t
+
+
+def test_escaped_garbling_beside_other_entities(spark):
+    good = "Der Wert müsste höher sein, sonst gäbe es Fehler."
+    once = "Der Wert m&Atilde;&frac14;sste h&Atilde;&para;her sein, sonst g&Atilde;&curren;be es Fehler."
+    twice = once.replace("&", "&amp;")
+    rows = [(i, t) for i, t in enumerate(SOUND * 30)] + [(1000, f"{once} &amp;lt;b&amp;gt;"), (1001, twice), (1002, "a &amp;lt; b &amp;amp;lt; c")]
+    got = {r.doc_id: (r.restored, r.encodings) for r in garbled_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {1000, 1001}
+    assert got[1000][0] == f"{good} &lt;b&gt;" and got[1001][0] == good
+    assert got[1000][1][:2] == ["html", "utf-8<cp1252"] and got[1001][1][:2] == ["html", "html"]

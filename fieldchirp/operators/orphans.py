@@ -5,8 +5,9 @@ one sequence of events in time.  The keyed state that the events drive is two
 numbers: how many parents ever arrived and how many are valid now.  A
 reference that finds none valid waits as an orphan: ``missing`` while no
 parent ever arrived, ``deleted`` when all that arrived are gone; a parent that
-arrives after it turns a waiting ``missing`` into ``late`` and resolves it, a
-removal of the last valid parent reopens what it had resolved.
+arrives after it turns a waiting ``missing`` into ``late``.  References that
+found a parent on arrival aren't kept: what a later removal reopens comes from
+``current_orphans``, over all references, and not from a batch.
 
 A batch is one ordered scan over (key, time), so a key with a third of all
 rows is spread over many tasks.  The state between batches is a table of

@@ -52,4 +52,9 @@ with w as (select {sql_key("file")} f, start_time, min(pred_id) pred_id from loc
 s as (select w.f, w.start_time, w.pred_id, p.test_species v from w join localizer_preds p using (pred_id) where not isnan(p.test_species)),
 r as (select pred_id, row_number() over (partition by f order by v desc, start_time, pred_id) k from s)
 select pred_id, cast(k as integer) top_rank from r where k <= 5""",
+    "p8_found": """
+with w as (select 'd' t, doc_id id, regexp_extract_all(lower(strip_accents(lower(text))), '[\\p{L}\\p{N}]+') w from documents
+  union all select 'i', item_id, regexp_extract_all(lower(strip_accents(lower(text))), '[\\p{L}\\p{N}]+') from benchmark_items),
+g as (select t, id, array_to_string(w[i : i + 11], ' ') win from w, lateral unnest(range(1, greatest(len(w) - 10, 1))) u(i) where len(w) >= 12)
+select distinct d.id doc_id, i.id item_id from g d join g i on d.win = i.win and d.t = 'd' and i.t = 'i'""",
 }

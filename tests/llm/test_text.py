@@ -44,6 +44,8 @@ def test_leaks_match_brute_force(spark):
     got = leaked_passages(d, t)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and (904, 0) in want
     assert got.count() == len(want)
+    few = leaked_passages(d, t, shingles=200)  # items in several blocks
+    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in got.collect()}
     assert leaked_passages(d.limit(0), t).count() == 0 and leaked_passages(d, t.limit(0)).count() == 0
 
 

@@ -51,18 +51,29 @@ class Legacy:
         except UnicodeEncodeError:
             return None
 
-    def from_utf8(self, text: str) -> str:
-        """Undo UTF-8 read in this encoding, wherever in the text it stands."""
+    def from_utf8(self, text: str, made: set[str] | None = None) -> str:
+        """Undo UTF-8 read in this encoding, wherever in the text it stands; ``made`` collects the characters won."""
 
         def fix(m: re.Match) -> str:
             raw = self.encode(m[0])
             try:
-                return m[0] if raw is None else raw.decode("utf-8")
+                won = m[0] if raw is None else raw.decode("utf-8")
             except UnicodeDecodeError:
                 return m[0]
+            if made is not None:
+                made.update(won)
+            return won
 
         return self.utf8.sub(fix, text)
 
+    def is_whole(self, text: str) -> bool:
+        """Whether the text is strict UTF-8 from end to end when re-encoded."""
+        raw = self.encode(text)
+        try:
+            return raw is not None and bool(raw.decode("utf-8"))
+        except UnicodeDecodeError:
+            return False
+
     def is_utf8(self, text: str) -> bool:
         """Whether all that isn't ASCII in the text is UTF-8 read in this encoding, beyond chance: every byte takes part, and enough characters aren't mere typesetting."""
         raw = self.encode(text)
@@ -96,7 +107,7 @@ def _kind(c: str) -> str:
 
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
-_AROUND = re.compile(r"(?s).?[^\x00-\x7f]+.?")
+_AROUND = re.compile(r"(?s).{0,2}[^\x00-\x7f]+.{0,2}")
 # What typesetting puts between words; free-standing, it says nothing of a wrong encoding.
 TYPOGRAPHIC = frozenset("\u00a0\u00ab\u00bb\u00bf\u00a1\u00ad\ufeff" + "".join(map(chr, range(0x2000, 0x2070))))
 
@@ -124,6 +135,187 @@ def features(text: str) -> list[tuple[str, str]]:
     return [f for r in _runs(text) for f in _run_features(*r)]
 
 
+# ---- the fixed cost: what no corpus can talk away
+
+# How often the letters of Russian occur, in 10,000.
+RUSSIAN = dict(
+    о=1097, е=845, а=801, и=735, н=670, т=626, с=547, р=473, в=454, л=440, к=349, м=321, д=298, п=281, у=262, я=201, ы=190, ь=174, г=170, з=165, б=159, ч=144, й=121,
+    х=97, ж=94, ш=73, ю=64, ц=48, щ=36, э=32, ф=26, ъ=4, ё=4,
+)
+HARD = 12.0  # bits of hard evidence that decide without the corpus
+SOFT_UTF8 = 4.0  # bits of the fixed cost that UTF-8 must save to be taken without the corpus
+EXOTIC = 12.0  # fixed cost of a letter of a script that hardly anybody writes
+_PLAIN = frozenset("×·°")  # stand between letters in sound text
+_MARKS = frozenset("†‡‰‱")
+_SCRIPTS = {"LATIN": "L", "CYRILLIC": "C", "GREEK": "G", "HIRAGANA": "J", "KATAKANA": "J", "KATAKANA-HIRAGANA": "J", "CJK": "J", "HANGUL": "K", "HALFWIDTH": "J", "FULLWIDTH": "J"}
+_WRITTEN = frozenset("ARABIC HEBREW THAI DEVANAGARI BENGALI TAMIL ARMENIAN GEORGIAN".split())
+
+
+def _common_ideograph(c: str) -> bool:
+    """In the first level of the Japanese or Chinese standard, which holds the characters of daily use."""
+    for name, last in (("euc_jp", 0xCF), ("gb2312", 0xD7)):
+        try:
+            if c.encode(name)[0] <= last:
+                return True
+        except UnicodeEncodeError:
+            pass
+    return False
+
+
+@lru_cache(100_000)
+def _form(c: str) -> tuple[str, str, float]:
+    """(script or kind, case, fixed cost in bits) of a character."""
+    case = "l" if c.islower() else "u" if c.isupper() else ""
+    if c.isascii():
+        return ("L", case, 0.0) if c.isalpha() else (" ", "", 0.0)
+    cat, point = unicodedata.category(c), ord(c)
+    if c in _PLAIN or (c in TYPOGRAPHIC and c not in _MARKS) or cat[0] == "Z" or 0x3000 <= point < 0x3040 or 0xFF00 <= point < 0xFF66:
+        return "T", "", 1.0
+    if cat in ("Cc", "Co", "Cn", "Cs"):
+        return "X", "", 10.0
+    if cat[0] == "M":
+        return "M", "", 3.0
+    if cat[0] != "L":
+        return ("B", "", 4.0) if 0x2500 <= point < 0x25A0 else ("S", "", 3.0 if point < 0x100 else 5.0)
+    first = unicodedata.name(c, "").split(" ")[0]
+    script = _SCRIPTS.get(first)
+    if script is None:
+        return ("S", "", 2.0) if first in ("MICRO", "FEMININE", "MASCULINE", "SUPERSCRIPT", "MODIFIER") else ("O", case, 3.0 if first in _WRITTEN else EXOTIC)
+    if script == "C":
+        n = RUSSIAN.get(c.lower())
+        bits = math.log2(1097 / n) if n else 4.0 if point < 0x460 else 6.0
+    else:
+        bits = {"L": 2.0 if point < 0x100 else 3.0 if point < 0x180 else 5.0, "G": 2.0, "J": 7.0 if first == "HALFWIDTH" else 2.0, "K": 5.0}[script]
+        if first == "CJK":
+            bits = 5.0 if _common_ideograph(c) else 9.0
+    return script, case, bits
+
+
+_CONTEXT = re.compile(r"(?s)([\x00-\x7f]{0,2})([^\x00-\x7f]+)(?=(.{0,2}))")
+
+
+@lru_cache(200_000)
+def _run_shape(before: str, run: str, after: str) -> tuple[float, float, float]:
+    """(fixed cost, hard evidence, surprise of Cyrillic letters) of a run of non-ASCII characters and what stands round it.
+
+    Hard evidence is what sound text of any language hardly ever shows:
+    characters of another script, capitals or symbols within a word, long runs
+    of accented letters or of symbols, control characters.
+    """
+    text = before + run + after
+    forms = [_form(c) for c in text]
+    cost = hard = cyrillic = 0.0
+    accented = symbols = 0
+    letter = lambda k: 0 <= k < len(forms) and forms[k][0] in "LCGO"
+    for i in range(len(before), len(text) + bool(after)):
+        if i >= len(text):
+            break
+        kind, case, bits = forms[i]
+        own = len(before) <= i < len(before) + len(run)
+        if own:
+            cost += bits
+        if i:
+            left, left_case, _ = forms[i - 1]
+            joined = not (text[i].isascii() and text[i - 1].isascii())
+            if joined:
+                if letter(i) and letter(i - 1) and kind != left:
+                    cost += 4.0
+                if (letter(i) and left in "SBX") or (letter(i - 1) and kind in "SBX"):
+                    cost += 3.0
+                if kind == "B" and text[i] == text[i - 1]:
+                    cost -= 3.5
+                if (kind == "B" and letter(i - 1)) or (left == "B" and letter(i)):
+                    hard += 4.0
+                if letter(i) and letter(i - 1) and left_case == "l" and case == "u":
+                    cost += 5.0
+                    hard += 5.0
+        if not own:
+            continue
+        accented = accented + 1 if kind == "L" else 0
+        if accented > 1:
+            cost += 4.0
+        if accented > 2:
+            hard += 4.0
+        if kind == "X":
+            hard += 10.0
+        if kind == "C":
+            cyrillic += bits - 2.0
+            cost += 0.5 if case == "u" and i and forms[i - 1][1] == "u" else 0.0
+        pair = forms[i - 1][0] + kind if i > len(before) else ""
+        mixed = pair == "SS" or (pair != "" and (pair[0] in "SB") != (pair[1] in "SB") and pair[0] in "SBLGCO" and pair[1] in "SBLGCO")
+        symbols = symbols + 1 if mixed else symbols
+        if mixed and symbols > 1:
+            hard += 3.0
+        # within a word: letters of one script on both sides, two on one of them
+        if letter(i - 1) and letter(i + 1) and forms[i - 1][0] == forms[i + 1][0] and (letter(i - 2) or letter(i + 2)):
+            if letter(i) and kind != forms[i - 1][0]:
+                hard += 13.0
+            elif kind in "SBX":
+                hard += 8.0
+            elif case == "u" and forms[i - 1][1] == "l" and forms[i + 1][1] == "l":
+                hard += 8.0
+    return cost, hard, cyrillic
+
+
+def shape(text: str) -> tuple[float, float, float]:
+    """(fixed cost, hard evidence of garbling, surprise of Cyrillic letters) of a text, whatever the corpus."""
+    cost = hard = cyrillic = 0.0
+    for m in _CONTEXT.finditer(text):
+        a, b, c = _run_shape(m[1], m[2], m[3])
+        cost, hard, cyrillic = cost + a, hard + b, cyrillic + c
+    return cost, hard, cyrillic
+
+
+def _usual(c: str) -> bool:
+    """Whether a character is one that chance bytes read as UTF-8 seldom give."""
+    kind, _, bits = _form(c)
+    return ord(c) < 0x460 if kind == "C" else bits <= 4.0 if kind == "L" else bits <= 5.0 and kind not in "OXM"
+
+
+def _decided(seg: str) -> tuple[str, str] | None:
+    """(restored, encodings) where the fixed cost alone proves a garbling, None where it doesn't."""
+    cost, hard, cyrillic = shape(seg)
+    best = None
+    if _any_utf8().search(seg):
+        for name, legacy in _legacies().items():
+            if legacy.utf8.search(seg):
+                made: set[str] = set()
+                fixed = legacy.from_utf8(seg, made)
+                # UTF-8 throughout comes before what decodes in places only; what it gives may be another layer.
+                whole = legacy.is_whole(seg)
+                now, h, c = shape(fixed) if made and all(_form(c)[0] != "O" if whole else _usual(c) for c in made) else (cost, 0.0, 0.0)
+                mine = (not whole, now + h + c, f"utf-8<{name}", fixed)
+                if now <= cost - SOFT_UTF8 and (best is None or mine < best):
+                    best = mine
+    if hard + max(cyrillic, 0.0) >= HARD and (best is None or best[0]):
+        worst = hard + cyrillic
+        for name, legacy in _legacies().items():
+            raw = legacy.encode(seg)
+            for meant in INTENDED if raw is not None else ():
+                if meant == name:
+                    continue
+                try:
+                    fixed = raw.decode(meant)
+                except UnicodeDecodeError:
+                    continue
+                now, h, c = shape(fixed)
+                mine = (True, now + h + c, f"{meant}<{name}", fixed)
+                # What restores a text leaves next to nothing that is odd.
+                if h + c <= worst - HARD and h + max(c, 0.0) <= 0.1 * (hard + max(cyrillic, 0.0)) and now < cost and (best is None or mine < best):
+                    best = mine
+    return best and (best[3], best[2])
+
+
+def _sound_part(text: str) -> str:
+    """What of a text the counts of the corpus may rest on: all but the pieces that the fixed cost proves garbled."""
+    cost, hard, cyrillic = shape(text)
+    if hard + max(cyrillic, 0.0) < HARD / 2 and not _any_utf8().search(text):
+        return text
+    if _decided(text):
+        return ""
+    return "".join("\n" if not s.isascii() and _decided(s) else s for s in _SEGMENT.findall(text))
+
+
 class Costs:
     """Garbling cost in bits: in how few documents of the corpus the features of a text occur."""
 
@@ -188,10 +380,15 @@ def _repair_piece(seg: str, costs: Costs) -> tuple[str, list[str]]:
     steps: list[str] = []
     now, cost = seg, costs(seg)
     for _ in range(LAYERS):
-        # Only the non-ASCII runs and the one character after each can change, so texts alike in these fare alike.
+        # Only the non-ASCII runs and what stands next to them can change, so texts alike in these fare alike.
         key = tuple(_AROUND.findall(now))
         if key in costs.sound:
             break
+        proved = _decided(now)
+        if proved:
+            now, cost = proved[0], costs(proved[0])
+            steps.append(proved[1])
+            continue
         mean = costs.mean(now)
         best = None
         for c, n in _candidates(now, costs):
@@ -235,7 +432,9 @@ def _repair_bare(text: str, costs: Costs) -> tuple[str, list[str], bool]:
     if text.isascii():
         return text, [], False
     if not _any_utf8().search(text) and costs.rarest(text) <= RARE:
-        return text, [], bool(_LOST.search(text))
+        _, hard, cyrillic = shape(text)
+        if hard + max(cyrillic, 0.0) < HARD:
+            return text, [], bool(_LOST.search(text))
     # The whole text first: what is garbled throughout gives the most evidence at once.
     whole, steps = _repair_piece(text, costs)
     out = []
@@ -251,15 +450,17 @@ def _repair_bare(text: str, costs: Costs) -> tuple[str, list[str], bool]:
 def feature_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(before, ch, n): in how many distinct texts a feature occurs, so neither a long text nor one posted again and again sets the scale.
 
-    Copies add one only each time their number doubles.  Equal texts meet by a
-    hash of the whole text; only texts that aren't ASCII travel.
+    Pieces that the fixed cost proves garbled don't count, so the counts stay
+    those of sound text however much of the corpus is garbled.  Copies add one
+    only each time their number doubles.  Equal texts meet by a hash of the
+    whole text; only texts that aren't ASCII travel.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tally: Counter = Counter()
         for b in batches:
             for t, weight in zip(b[text], b["weight"], strict=True):
-                for f in set(features(t)):
+                for f in set(features(_sound_part(t))):
                     tally[f] += weight
         yield pd.DataFrame([(k[0], k[1], n) for k, n in tally.items()], columns=["before", "ch", "n"])
 
@@ -275,11 +476,13 @@ def garbled_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     Round-trip repair: the text, and then each of its sentences, is
     re-encoded under every legacy encoding and strictly decoded in every
     intended one; a candidate is accepted when the garbling cost drops, and
-    the step repeated for nested layers.  The cost is how rare a character is
-    after its neighbour in the distinct texts of the corpus.  A piece that is
-    UTF-8 throughout when re-encoded, with ``STRICT_CHARS`` characters or more,
-    is garbled whatever the corpus holds.  ``complete`` is false where
-    characters were lost for good (replacement characters stay).
+    the step repeated for nested layers.  Two costs count.  A fixed one, of
+    scripts, cases and symbols as Unicode knows them, proves a garbling
+    whatever the corpus holds.  Where it can't, the cost is how rare a
+    character is after its neighbour in what of the corpus the fixed cost
+    doesn't prove garbled.  A piece that is UTF-8 throughout when re-encoded,
+    with ``STRICT_CHARS`` characters or more, is garbled too.  ``complete`` is
+    false where characters were lost for good (replacement characters stay).
 
     The counts that set the cost are over all distinct texts and have at most ten
     kinds times the Unicode characters, whatever the corpus; that is why they

@@ -130,3 +130,29 @@ def test_escaped_garbling_beside_other_entities(spark):
     assert set(got) == {1000, 1001}
     assert got[1000][0] == f"{good} &lt;b&gt;" and got[1001][0] == good
     assert got[1000][1][:2] == ["html", "utf-8<cp1252"] and got[1001][1][:2] == ["html", "html"]
+
+
+def test_recall_does_not_depend_on_how_much_is_garbled():
+    """Every share of the corpus, up to all of it, garbled alike."""
+    from fieldchirp.llm.garbled import Costs, _sound_part, features, repair
+
+    posts = {
+        "ru": ["Попробуйте уменьшить порог до {} и проверить ещё раз.", "Микрофон {} стоял у болота всю ночь и намок.", "Запись обрывается через {} минут, хотя карта пустая."],
+        "fr": ["Même problème ici depuis {} jours, côté étang.", "Le niveau {} a été réglé trop élevé à la création.", "Après {} essais, la fenêtre était déjà fermée."],
+    }
+    for lang, meant, read in (("ru", "cp1251", "latin-1"), ("ru", "koi8_r", "cp1251"), ("fr", "cp1252", "cp437"), ("fr", "cp1252", "mac_roman"), ("fr", "utf-8", "cp1252")):
+        for share in (0.01, 0.03, 0.1, 0.3, 1.0):
+            good = [posts[k][i % 3].format(i) for k in posts for i in range(200)]
+            rng = random.Random(share)
+            hit = {i for i, t in enumerate(good) if (t[0] > "Ѐ") == (lang == "ru") and rng.random() < max(share, 0.02)}
+            texts = [t.encode(meant).decode(read) if i in hit else t for i, t in enumerate(good)]
+            counts = {}
+            for t in texts:
+                for f in set(features(_sound_part(t))):
+                    counts[f] = counts.get(f, 0) + 1
+            costs = Costs(counts)
+            got = {i: repair(t, costs) for i, t in enumerate(texts)}
+            found = {i for i, r in got.items() if r[1]}
+            assert len(found & hit) >= 0.9 * len(hit) and len(found - hit) <= 0.1 * len(found), (meant, read, share)
+            # with no sound Russian at all, one letter in a text may be taken for its neighbour's in a like encoding
+            assert share == 1 or sum(got[i][0] == good[i] for i in hit) >= 0.9 * len(hit), (meant, read, share)

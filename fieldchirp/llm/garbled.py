@@ -147,6 +147,7 @@ SOFT_UTF8 = 4.0  # bits of the fixed cost that UTF-8 must save to be taken witho
 EXOTIC = 12.0  # fixed cost of a letter of a script that hardly anybody writes
 _PLAIN = frozenset("×·°")  # stand between letters in sound text
 _MARKS = frozenset("†‡‰‱")
+_QUOTES = frozenset("«»¿¡“”„")
 _SCRIPTS = {"LATIN": "L", "CYRILLIC": "C", "GREEK": "G", "HIRAGANA": "J", "KATAKANA": "J", "KATAKANA-HIRAGANA": "J", "CJK": "J", "HANGUL": "K", "HALFWIDTH": "J", "FULLWIDTH": "J"}
 _WRITTEN = frozenset("ARABIC HEBREW THAI DEVANAGARI BENGALI TAMIL ARMENIAN GEORGIAN".split())
 
@@ -239,7 +240,7 @@ def _run_shape(before: str, run: str, after: str) -> tuple[float, float, float]:
         if kind == "X":
             hard += 10.0
         if kind == "C":
-            cyrillic += bits - 2.0
+            cyrillic += bits - 1.6
             cost += 0.5 if case == "u" and i and forms[i - 1][1] == "u" else 0.0
         pair = forms[i - 1][0] + kind if i > len(before) else ""
         mixed = pair == "SS" or (pair != "" and (pair[0] in "SB") != (pair[1] in "SB") and pair[0] in "SBLGCO" and pair[1] in "SBLGCO")
@@ -250,8 +251,9 @@ def _run_shape(before: str, run: str, after: str) -> tuple[float, float, float]:
         if letter(i - 1) and letter(i + 1) and forms[i - 1][0] == forms[i + 1][0] and (letter(i - 2) or letter(i + 2)):
             if letter(i) and kind != forms[i - 1][0]:
                 hard += 13.0
-            elif kind in "SBX":
+            elif kind in "SBX" or text[i] in _QUOTES:
                 hard += 8.0
+                cost += 4.0 if kind == "T" else 0.0
             elif case == "u" and forms[i - 1][1] == "l" and forms[i + 1][1] == "l":
                 hard += 8.0
     return cost, hard, cyrillic
@@ -269,7 +271,7 @@ def shape(text: str) -> tuple[float, float, float]:
 def _usual(c: str) -> bool:
     """Whether a character is one that chance bytes read as UTF-8 seldom give."""
     kind, _, bits = _form(c)
-    return ord(c) < 0x460 if kind == "C" else bits <= 4.0 if kind == "L" else bits <= 5.0 and kind not in "OXM"
+    return ord(c) < 0x460 if kind == "C" else bits <= 4.0 if kind == "L" else bits <= 5.0 and kind not in "OXMK"
 
 
 def _decided(seg: str) -> tuple[str, str] | None:

@@ -52,6 +52,14 @@ with w as (select {sql_key("file")} f, start_time, min(pred_id) pred_id from loc
 s as (select w.f, w.start_time, w.pred_id, p.test_species v from w join localizer_preds p using (pred_id) where not isnan(p.test_species)),
 r as (select pred_id, row_number() over (partition by f order by v desc, start_time, pred_id) k from s)
 select pred_id, cast(k as integer) top_rank from r where k <= 5""",
+    "p6_found": f"""
+with s as (select distinct {sql_key("file")} f, cast(round(start_time * 10000) as bigint) t from loca_2021_detections where not isnan(start_time)),
+m as (select f, t, count(*) over (partition by f) n from s where f is not null),
+p as (select a.f fa, b.f fb, a.n n, a.t t, b.t - a.t d, (b.t - a.t) // 200 c from m a join m b on a.n >= 11 and (a.n < b.n or (a.n = b.n and a.f < b.f))),
+k as (select fa, fb, c, n, count(distinct t) k from p group by all),
+q as (select x.fa, x.fb, x.c from k x left join k y on x.fa = y.fa and x.fb = y.fb and y.c = x.c + 1 where x.k + coalesce(y.k, 0) >= ceil(0.7 * x.n - 1e-9)),
+r as (select x.fa, x.fb from p x join q using (fa, fb, c) join p y on x.fa = y.fa and x.fb = y.fb and y.d between x.d and x.d + 200 group by x.fa, x.fb, x.d, x.n having count(distinct y.t) >= ceil(0.7 * x.n - 1e-9))
+select distinct least(fa, fb) file_a, greatest(fa, fb) file_b from r""",
     "p8_found": """
 with w as (select 'd' t, doc_id id, regexp_extract_all(lower(strip_accents(lower(text))), '[\\p{L}\\p{N}]+') w from documents
   union all select 'i', item_id, regexp_extract_all(lower(strip_accents(lower(text))), '[\\p{L}\\p{N}]+') from benchmark_items),

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldchirp.functions.keys import clean_key
@@ -44,9 +46,8 @@ def _meet(probes: pd.DataFrame, starts: pd.DataFrame, width: int, tol: int, shar
     t, core, n_large, large = starts["t"].to_numpy(), starts["core"].to_numpy(), starts["n"].to_numpy(), starts["file"].to_numpy()
     size = probes["ts"].map(len).to_numpy()
     ts, at_row = np.concatenate(probes["ts"].to_list()), np.cumsum(size) - size
-    fours = size // 4
-    row = np.repeat(np.arange(len(size)), fours)
-    block = at_row[row] + 4 * (np.arange(len(row)) - np.repeat(np.cumsum(fours) - fours, fours))
+    row = np.repeat(np.arange(len(size)), probes["use"].map(len).to_numpy())
+    block = at_row[row] + 4 * np.concatenate(probes["use"].to_list()).astype(np.int64)
     q = {c: ts[block + i] for i, c in enumerate("abcd")}
     gap = np.concatenate([q["b"] - q["a"], q["d"] - q["c"]])
     base = np.concatenate([q["a"], q["c"]])
@@ -100,19 +101,56 @@ def _meet(probes: pd.DataFrame, starts: pd.DataFrame, width: int, tol: int, shar
     return pd.concat(found).drop_duplicates(["small", "large", "slot"]) if found else none
 
 
-def same_recording_pairs(detections: DataFrame, min_starts: int = 11, share: float = 0.7, tolerance: float = 0.01, partitions: int | None = None) -> DataFrame:
-    """Pairs of file keys that hold the same recording: file_a < file_b, n_common, shift (seconds).
+@dataclass
+class Recordings:
+    """``classes``: every file of enough starts with the class of files that hold exactly the same starts but for one shift, (file, class, n, first).
+    ``pairs``: different classes that hold the same recording, (class_a, class_b, n_common, shift), shift in tenths of a millisecond from a to b.
+    A class bears the name of its first file.
+    """
+
+    classes: DataFrame
+    pairs: DataFrame
+
+
+def _growing(df: DataFrame) -> DataFrame:
+    """Joined by sorting: the table grows with the data, however small its files look."""
+    return df.hint("merge")
+
+
+def _probes(placed: DataFrame, spare_of: Callable[[Column], Column], cell: int, partitions: int | None) -> DataFrame:
+    """Chunks of starts with the blocks of four to probe by: (file, n, chunk, ts, use).
+
+    Of a file with k starts that may fail, the k // 2 + 1 blocks whose gaps the
+    fewest blocks of the corpus share: gaps that every file has, as on a
+    regular grid, are left out where a file has others.
+    """
+    chunk = F.floor((F.col("pos") - 1) / CHUNK).alias("chunk")
+    chunks = materialize(placed.groupBy("file", "n", chunk).agg(F.array_sort(F.collect_list("t")).alias("ts")).where(F.size("ts") >= 4), "chunks")
+    t = lambda i: F.col("ts")[4 * F.col("i") + i]
+    blocks = chunks.withColumn("i", F.explode(F.sequence(F.lit(0), (F.floor(F.size("ts") / 4) - 1).cast("int"))))
+    blocks = blocks.select("file", "n", "chunk", "i", (t(3) - t(0)).alias("width"), F.explode(F.array((t(1) - t(0)), (t(3) - t(2)))).alias("gap")).withColumn("cell", F.floor(F.col("gap") / cell)).drop("gap")
+    often = blocks.groupBy("cell").agg(F.count("*").alias("often"))
+    cost = blocks.join(_growing(often), "cell").groupBy("file", "n", "chunk", "i", "width").agg(F.sum("often").alias("cost")).withColumn("one", F.lit(1).cast("long"))
+    ranked = running(cost, ["file"], ["cost", "width", "chunk", "i"], {"rank": "one"}, partitions=partitions, name="blocks")
+    use = ranked.where(F.col("rank") <= F.floor(spare_of(F.col("n")) / 2) + 1).groupBy("file", "chunk").agg(F.array_sort(F.collect_list("i")).alias("use"), F.max("width").alias("width"))
+    return chunks.join(_growing(use), ["file", "chunk"])
+
+
+def find_recordings(detections: DataFrame, min_starts: int = 11, share: float = 0.7, tolerance: float = 0.01, partitions: int | None = None) -> Recordings:
+    """Files that hold the same recording, by classes of exact copies.
 
     Two files hold the same recording when each has at least ``min_starts``
     distinct start times and ``share`` of those of the file with fewer recur
     in the other within ``tolerance`` seconds, directly or after one shift.
+    Files whose starts are the same but for one shift are one class and are
+    searched once.
 
     No pair is missed, whatever else the larger file holds.  The starts of a
     file are cut into blocks of four.  With k starts that needn't recur,
-    k // 2 + 1 blocks can't all lack two or more, so one of them has three
-    that recur: blocks are probed, by three starts each, against all pairs of
-    starts at the same gap in files with as many starts or more.  The shifts
-    so found are verified over all starts, in integers.
+    k // 2 + 1 blocks can't all lack two or more, so one of any so many has
+    three that recur: the rarest are probed, by three starts each, against all
+    pairs of starts at the same gap in files with as many starts or more.  The
+    shifts so found are verified over all starts, in integers.
     ``ValueError`` where ``share`` and ``min_starts`` leave too few blocks.
 
     A larger file is cut into spans of time as wide as the widest probe, with
@@ -121,41 +159,47 @@ def same_recording_pairs(detections: DataFrame, min_starts: int = 11, share: flo
     NaN keys or times take no part; repeated rows count once; an empty table
     gives no pairs.
     """
-    spare_of = lambda n: n - math.ceil(n * share - 1e-9)
-    if share <= 0.5 or any(2 * (n // 4) <= spare_of(n) for n in range(min_starts, min_starts + math.ceil(2 / (share - 0.5)) + 4)):
+    count_spare = lambda n: n - math.ceil(n * share - 1e-9)
+    if share <= 0.5 or any(2 * (n // 4) <= count_spare(n) for n in range(min_starts, min_starts + math.ceil(2 / (share - 0.5)) + 4)):
         raise ValueError("share and min_starts leave no block of four with three common starts for certain")
+    spare_of = lambda n: n - F.ceil(n * share - 1e-9)
     tol = round(tolerance * UNIT)
-    points = start_points(detections)
     spark = detections.sparkSession
     parts = partitions or shuffle_partitions(spark)
-    placed = running(points.withColumn("one", F.lit(1).cast("long")), ["file"], ["t"], {"pos": "one"}, partitions=partitions, name="starts").drop("one")
-    counts = placed.groupBy("file").agg(F.max("pos").alias("n")).where(F.col("n") >= min_starts)
-    placed = materialize(placed.join(counts, "file"), "starts")
+    placed = running(start_points(detections).withColumn("one", F.lit(1).cast("long")), ["file"], ["t"], {"pos": "one"}, partitions=partitions, name="starts").drop("one")
+    counts = placed.groupBy("file").agg(F.max("pos").alias("n"), F.min("t").alias("first")).where(F.col("n") >= min_starts)
+    placed = materialize(placed.join(_growing(counts), "file"), "starts")
+    # 128 bits of the starts after the first, whatever their order: a partial aggregate, so no file is collected.
+    since = F.col("t") - F.col("first")
+    marks = placed.groupBy("file", "n", "first").agg(F.bit_xor(F.xxhash64(since)).alias("x"), F.bit_xor(F.xxhash64(since, F.lit(1))).alias("y"))
+    named = marks.groupBy("n", "x", "y").agg(F.min("file").alias("class"))
+    classes = materialize(marks.join(_growing(named), ["n", "x", "y"]).select("file", "class", "n", "first"), "classes")
+    ones = classes.where("file = class").select("file")
+    placed = materialize(placed.join(_growing(ones), "file", "left_semi").drop("first"), "class-starts")
+    none = Recordings(classes, spark.createDataFrame([], "class_a string, class_b string, n_common long, shift long"))
     most = [r[0] for r in placed.where("pos = 1").orderBy(F.col("n").desc()).limit(2).select("n").collect()]
     if len(most) < 2:
-        return spark.createDataFrame([], "file_a string, file_b string, n_common long, shift double")
+        return none
 
     # A file longer than all others has none to be found in.
-    chunks = placed.where(F.col("n") <= most[1]).groupBy("file", "n", F.floor((F.col("pos") - 1) / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list("t")).alias("ts")).where(F.size("ts") >= 4)
-    probes = materialize(chunks, "probes")
-    span = lambda i: F.col("ts")[4 * i + 3] - F.col("ts")[4 * i]
-    n_probed, widest = probes.agg(F.sum(F.size("ts")), F.max(F.array_max(F.transform(F.sequence(F.lit(0), (F.floor(F.size("ts") / 4) - 1).cast("int")), span)))).first()
+    probes = materialize(_probes(placed.where(F.col("n") <= most[1]), spare_of, 4 * tol, partitions), "probes")
+    n_probed, widest = probes.agg(F.sum(F.size("use")) * 4, F.max("width")).first()
     width = max(widest + 4 * tol, REACH)
     p, q = 1 + n_probed // PROBED, 2 * parts
     bucket = F.floor(F.col("t") / width)
     starts = placed.select("file", "n", "t", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"), bucket.alias("own"))
     starts = starts.select("file", "n", "t", "bucket", (F.col("own") == F.col("bucket")).alias("core"), F.pmod(F.xxhash64("file", "bucket"), F.lit(q)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("p"))
-    sent = probes.select("file", "n", "ts", F.pmod(F.xxhash64("file", "chunk"), F.lit(p)).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("q"))
+    sent = probes.select("file", "n", "ts", "use", F.pmod(F.xxhash64("file", "chunk"), F.lit(p)).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("q"))
     met = sent.groupBy("p", "q").cogroup(starts.groupBy("p", "q")).applyInPandas(lambda a, b: _meet(a, b, width, tol, share), "small string, large string, slot long, shift long")
     # One candidate per pair and shift, to four tolerances.
     cand = materialize(met.groupBy("small", "large", "slot").agg(F.min("shift").alias("shift")), "shifts")
 
     reach = 8 * tol
     cells = 16 * tol
-    ours = cand.join(placed.select(F.col("file").alias("small"), "n", "t"), "small").withColumn("due", F.col("t") + F.col("shift"))
+    ours = cand.join(_growing(placed.select(F.col("file").alias("small"), "n", "t")), "small").withColumn("due", F.col("t") + F.col("shift"))
     ours = ours.withColumn("cell", F.explode(F.sequence(F.floor((F.col("due") - reach) / cells), F.floor((F.col("due") + reach) / cells))))
     theirs = placed.select(F.col("file").alias("large"), F.col("t").alias("tl"), F.floor(F.col("t") / cells).alias("cell"))
-    hit = ours.join(theirs, ["large", "cell"]).where(F.abs(F.col("tl") - F.col("due")) <= reach)
+    hit = ours.join(_growing(theirs), ["large", "cell"]).where(F.abs(F.col("tl") - F.col("due")) <= reach)
     group = ["small", "large", "n", "slot"]
     hit = hit.select(*group, "t", (F.col("tl") - F.col("t")).alias("d"))
     # A start recurs for every lower end of a range of twice the tolerance from d - 2 tol to d; its ranges are cut so that it counts once.
@@ -164,10 +208,35 @@ def same_recording_pairs(detections: DataFrame, min_starts: int = 11, share: flo
     tally = hit.withColumn("after", after).select(*group, F.inline(edges)).groupBy(*group, "at").agg(F.sum("k").alias("k"))
     held = tally.withColumn("m", F.sum("k").over(Window.partitionBy(*group).orderBy("at")))
     best = held.groupBy("small", "large", "n").agg(F.max("m").alias("n_common"), F.max_by("at", F.struct("m", "at")).alias("d"))
-    turned = F.col("small") > F.col("large")
-    return best.where(F.col("n_common") >= F.ceil(F.col("n") * share - 1e-9)).select(
-        F.least("small", "large").alias("file_a"), F.greatest("small", "large").alias("file_b"), "n_common", (F.when(turned, -1.0).otherwise(1.0) * (F.col("d") + tol) / UNIT).alias("shift")
-    )
+    enough = best.where(F.col("n_common") >= F.ceil(F.col("n") * share - 1e-9))
+    pairs = enough.select(F.col("small").alias("class_a"), F.col("large").alias("class_b"), "n_common", (F.col("d") + tol).alias("shift"))
+    return Recordings(classes, materialize(pairs, "class-pairs"))
+
+
+def recording_groups(found: Recordings, seed: int = 17) -> DataFrame:
+    """Recording of every file that has another name: (vertex, component), by contraction of the links between classes and from files to their class."""
+    links = found.pairs.select(F.col("class_a").alias("file_a"), F.col("class_b").alias("file_b"))
+    copies = found.classes.where("file <> class").select(F.col("class").alias("file_a"), F.col("file").alias("file_b"))
+    return connected(links.unionByName(copies), seed=seed)
+
+
+def same_recording_pairs(detections: DataFrame, min_starts: int = 11, share: float = 0.7, tolerance: float = 0.01, partitions: int | None = None, seed: int = 17) -> DataFrame:
+    """Pairs of file keys that hold the same recording: file_a < file_b, n_common, shift (seconds from a to b).
+
+    The pairs of classes of ``find_recordings`` spelt out for their files, of
+    which both must lie in one component of ``recording_groups``.
+    """
+    found = find_recordings(detections, min_starts, share, tolerance, partitions)
+    groups = recording_groups(found, seed)
+    member = lambda s: found.classes.select(F.col("class").alias(f"class_{s}"), F.col("file").alias(f"f{s}"), F.col("n").alias(f"n{s}"), F.col("first").alias(f"t{s}"))
+    named = lambda s: found.classes.where("file = class").select(F.col("class").alias(f"class_{s}"), F.col("first").alias(f"r{s}"))
+    across = found.pairs.join(_growing(named("a")), "class_a").join(_growing(named("b")), "class_b").join(_growing(member("a")), "class_a").join(_growing(member("b")), "class_b")
+    across = across.select("fa", "fb", "n_common", (F.col("shift") + (F.col("tb") - F.col("rb")) - (F.col("ta") - F.col("ra"))).alias("shift"))
+    same = member("a").join(_growing(member("b")), F.col("class_a") == F.col("class_b")).where("fa < fb").select("fa", "fb", F.col("na").alias("n_common"), (F.col("tb") - F.col("ta")).alias("shift"))
+    of = lambda s: groups.select(F.col("vertex").alias(f"f{s}"), F.col("component").alias(f"g{s}"))
+    held = across.unionByName(same).join(_growing(of("a")), "fa").join(_growing(of("b")), "fb").where("ga = gb")
+    turned = F.col("fa") > F.col("fb")
+    return held.select(F.least("fa", "fb").alias("file_a"), F.greatest("fa", "fb").alias("file_b"), "n_common", (F.when(turned, -1.0).otherwise(1.0) * F.col("shift") / UNIT).alias("shift"))
 
 
 def connected(edges: DataFrame, a: str = "file_a", b: str = "file_b", seed: int = 17, max_rounds: int = 200) -> DataFrame:
@@ -192,7 +261,7 @@ def connected(edges: DataFrame, a: str = "file_a", b: str = "file_b", seed: int
         into = materialize(both.where(~heads("u") & heads("v")).groupBy("u").agg(F.min("v").alias("into")), "contract")
         maps.append(into)
         to = lambda c: into.select(F.col("u").alias(c), F.col("into").alias(f"{c}2"))  # noqa: E731, B023
-        moved = e.join(to("u"), "u", "left").join(to("v"), "v", "left").select(F.coalesce("u2", "u").alias("u"), F.coalesce("v2", "v").alias("v")).where("u <> v")
+        moved = e.join(_growing(to("u")), "u", "left").join(_growing(to("v")), "v", "left").select(F.coalesce("u2", "u").alias("u"), F.coalesce("v2", "v").alias("v")).where("u <> v")
         swap = F.col("u") > F.col("v")
         e = materialize(moved.select(F.when(swap, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("v")).distinct(), "edges")
     else:
@@ -207,7 +276,7 @@ def _unwind(spark: SparkSession, maps: list[DataFrame], kind: str) -> DataFrame:
     labels = maps[-1].select(F.col("u").alias("vertex"), F.col("into").alias("component"))
     for m in reversed(maps[:-1]):
         later = labels.select(F.col("vertex").alias("into"), F.col("component").alias("further"))
-        mine = m.join(later, "into", "left").select(F.col("u").alias("vertex"), F.coalesce("further", "into").alias("component"))
+        mine = m.join(_growing(later), "into", "left").select(F.col("u").alias("vertex"), F.coalesce("further", "into").alias("component"))
         labels = materialize(labels.unionByName(mine), "labels")
     roots = labels.select(F.col("component").alias("vertex")).distinct().withColumn("component", F.col("vertex"))
     return labels.unionByName(roots)
@@ -222,10 +291,9 @@ def split_rows(detections: DataFrame, row_id: str = "det_id", shares: tuple = ((
     can't swallow a small split), the others in seeded random order; the
     running weight decides, so shares are met as closely as groups allow.
     """
-    pairs = same_recording_pairs(detections, partitions=partitions)
-    named = connected(pairs, seed=seed)
+    named = recording_groups(find_recordings(detections, partitions=partitions), seed)
     rows = detections.select(F.col(row_id).alias(row_id), clean_key("file").alias("file"))
-    rows = rows.join(named.select(F.col("vertex").alias("file"), "component"), "file", "left")
+    rows = rows.join(_growing(named.select(F.col("vertex").alias("file"), "component")), "file", "left")
     unit = F.coalesce("component", "file", F.concat(F.lit("row:"), F.col(row_id).cast("string")))
     rows = rows.select(row_id, unit.alias("recording"))
     weights = materialize(rows.groupBy("recording").agg(F.count("*").alias("w")), "weights")
@@ -241,6 +309,6 @@ def split_rows(detections: DataFrame, row_id: str = "det_id", shares: tuple = ((
         bounds.append((name, bound))
     for name, top in reversed(bounds[:-1]):
         split = F.when(middle < top, name).otherwise(split)
-    return rows.join(placed.select("recording", split.alias("split")), "recording").select(row_id, "recording", "split")
+    return rows.join(_growing(placed.select("recording", split.alias("split"))), "recording").select(row_id, "recording", "split")
 
 

@@ -6,7 +6,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from fieldchirp.llm import queries
-from fieldchirp.llm.splits import connected, same_recording_pairs, split_rows
+from fieldchirp.llm.splits import connected, find_recordings, same_recording_pairs, split_rows
 from fieldchirp.llm.topn import best_windows, top_n
 
 
@@ -114,6 +114,27 @@ def test_pairs_where_the_larger_file_holds_far_more(spark):
     assert got == brute
 
 
+def test_copies_and_regular_grids(spark):
+    rng = random.Random(12)
+    rows = [(f"same{i}", 3.0 * k + 7 * i) for i in range(40) for k in range(60)]  # exact copies on a grid: one class
+    rows += [(f"grid{i}", 3.0 * k) for i in range(12) for k in range(40) if rng.random() < 0.9]  # the grid with holes
+    rows += [(f"own{i}", rng.uniform(0, 600)) for i in range(20) for _ in range(25)]
+    rows = [(i, f, round(t, 3)) for i, (f, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "det_id long, file string, start_time double")
+    found = find_recordings(df)
+    assert {r["class"] for r in found.classes.where("file like 'same%'").collect()} == {"same0"}
+    want = _brute(rows)
+    got = same_recording_pairs(df).collect()
+    assert {(r.file_a, r.file_b) for r in got} == want and len(want) > 40 * 39 / 2 and len(got) == len(want)
+    at = {}
+    for _, f, t in rows:
+        at.setdefault(f, []).append(t)
+    for r in got:
+        a, b = at[r.file_a], at[r.file_b]
+        common = sum(any(abs(t + r.shift - u) <= 0.0101 for u in b) for t in a) if len(a) <= len(b) else sum(any(abs(t - r.shift - u) <= 0.0101 for u in a) for t in b)
+        assert common == r.n_common
+
+
 def test_contraction(spark):
     rng = random.Random(10)
     edges = [(f"v{i}", f"v{i + 1}") for i in range(40)] + [("hub", f"h{i}") for i in range(60)] + [(f"a{rng.randrange(30)}", f"a{rng.randrange(30)}") for _ in range(25)] + [("x", None), ("x", "x"), ("v0", "v1")]

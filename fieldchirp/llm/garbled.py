@@ -148,6 +148,7 @@ EXOTIC = 12.0  # fixed cost of a letter of a script that hardly anybody writes
 _PLAIN = frozenset("×·°")  # stand between letters in sound text
 _MARKS = frozenset("†‡‰‱")
 _QUOTES = frozenset("«»¿¡“”„")
+_WITHIN = _PLAIN | frozenset("‘’\u00ad\u200b\u200c\u200d‐‑‒–—―")
 _SCRIPTS = {"LATIN": "L", "CYRILLIC": "C", "GREEK": "G", "HIRAGANA": "J", "KATAKANA": "J", "KATAKANA-HIRAGANA": "J", "CJK": "J", "HANGUL": "K", "HALFWIDTH": "J", "FULLWIDTH": "J"}
 _WRITTEN = frozenset("ARABIC HEBREW THAI DEVANAGARI BENGALI TAMIL ARMENIAN GEORGIAN".split())
 
@@ -229,7 +230,8 @@ def _run_shape(before: str, run: str, after: str) -> tuple[float, float, float]:
                     hard += 4.0
                 if letter(i) and letter(i - 1) and left_case == "l" and case == "u":
                     cost += 5.0
-                    hard += 5.0
+                    # a unit like kHz shows as much; a longer word doesn't
+                    hard += 5.0 if letter(i - 2) or (i + 1 < len(forms) and forms[i + 1][1] == "u") else 0.0
         if not own:
             continue
         accented = accented + 1 if kind == "L" else 0
@@ -253,12 +255,14 @@ def _run_shape(before: str, run: str, after: str) -> tuple[float, float, float]:
                 hard += 13.0
             elif kind in "SBX" or text[i] in _QUOTES:
                 hard += 8.0
-                cost += 4.0 if kind == "T" else 0.0
+            if kind == "T" and text[i] not in _WITHIN:
+                cost += 4.0
             elif case == "u" and forms[i - 1][1] == "l" and forms[i + 1][1] == "l":
                 hard += 8.0
     return cost, hard, cyrillic
 
 
+@lru_cache(2_000)
 def shape(text: str) -> tuple[float, float, float]:
     """(fixed cost, hard evidence of garbling, surprise of Cyrillic letters) of a text, whatever the corpus."""
     cost = hard = cyrillic = 0.0
@@ -274,8 +278,23 @@ def _usual(c: str) -> bool:
     return ord(c) < 0x460 if kind == "C" else bits <= 4.0 if kind == "L" else bits <= 5.0 and kind not in "OXMK"
 
 
+_undecided: set[tuple] = set()  # pieces, by their non-ASCII runs and what stands round these, that the fixed cost leaves open
+
+
 def _decided(seg: str) -> tuple[str, str] | None:
     """(restored, encodings) where the fixed cost alone proves a garbling, None where it doesn't."""
+    key = tuple(_AROUND.findall(seg))
+    if key in _undecided:
+        return None
+    best = _decide(seg)
+    if best is None:
+        if len(_undecided) > 100_000:
+            _undecided.clear()
+        _undecided.add(key)
+    return best
+
+
+def _decide(seg: str) -> tuple[str, str] | None:
     cost, hard, cyrillic = shape(seg)
     best = None
     if _any_utf8().search(seg):

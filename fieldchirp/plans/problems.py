@@ -30,9 +30,10 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
     det, coords, rec = (table(spark, d, n) for n in ("loca_2021_detections", "loca_2021_aru_coords", "recordings"))
     return find_orphans(
         [
-            ("loca_2021_detections", det, "det_id", "file", "received_at", coords, "file", "received_at", "removed_at"),
-            ("loca_2021_aru_coords", coords, "coord_id", "file", "received_at", rec, "filename", "received_at", "removed_at"),
-        ]
+            ("loca_2021_detections", det, "det_id", "file", "received_at", coords, "coord_id", "file", "received_at", "removed_at"),
+            ("loca_2021_aru_coords", coords, "coord_id", "file", "received_at", rec, "recording_id", "filename", "received_at", "removed_at"),
+        ],
+        batches=2,
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fieldchirp.operators.orphans import OrphanState, parent_events, process_batch, reference_events, save_state
+from fieldchirp.operators.orphans import OrphanState, open_orphans, parent_rows, process_batch, reference_events, snapshot_counts
 from fieldchirp.operators.store import first_windows, missing_windows
 
 
@@ -37,19 +37,22 @@ def detection_counts(stream: DataFrame, width: str = "1 hour", late: str = "10 m
 
 
 class OrphanTracker:
-    """Keyed pending-orphan state over micro-batches; give ``on_batch`` to foreachBatch or call it with tables."""
+    """Keyed state of references over micro-batches; give ``on_batch`` to foreachBatch or call it with tables."""
 
-    def __init__(self, src: str, ref: tuple[str, str, str], parent: tuple[str, str, str | None]) -> None:
+    def __init__(self, src: str, ref: tuple[str, str, str], parent: tuple[str, str, str, str | None]) -> None:
         self.src, self.ref, self.parent = src, ref, parent
         self.state = OrphanState()
 
     def on_batch(self, refs: DataFrame | None, parents: DataFrame | None) -> DataFrame:
-        """Orphans after this batch, with the kinds they have now."""
+        """What the batch changed: new orphans, those it resolved and those it reopened."""
         r = None if refs is None else reference_events(refs, self.src, *self.ref)
-        p = None if parents is None else parent_events(parents, self.src, *self.parent)
-        orphans, state = process_batch(self.state, r, p)
-        self.state = save_state(state)
-        return orphans
+        p = None if parents is None else parent_rows(parents, self.src, *self.parent)
+        changes, self.state = process_batch(self.state, r, p)
+        return changes
+
+    def snapshot(self, spark: SparkSession) -> DataFrame:
+        """Orphans open now, per table, month and kind they had on arrival."""
+        return snapshot_counts(open_orphans(spark, self.state).withColumn("orphan_kind", F.coalesce("kind", F.lit("deleted"))))
 
 
 def read_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:

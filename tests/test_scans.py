@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from fieldchirp.operators.intervals import annotation_spans, merge_intervals
-from fieldchirp.operators.orphans import OrphanState, current_orphans, find_orphans, parent_events, process_batch, reference_events, save_state
+from fieldchirp.operators.orphans import OrphanState, find_orphans, open_orphans, orphans_on_arrival, parent_rows, process_batch, reference_events, snapshot_counts
 from fieldchirp.operators.rangescan import running
 
 T0 = datetime(2024, 1, 1)
@@ -89,24 +89,60 @@ def _kinds(refs, parents):
 
 def test_orphans_match_brute_force(spark):
     refs, parents, r, p = _case(spark)
-    got = find_orphans([("t", r, "id", "f", "at", p, "f", "at", "gone")], partitions=5)
-    assert {x.ref_id: x.orphan_kind for x in got.collect()} == _kinds(refs, parents)
-    none = find_orphans([("t", r, "id", "f", "at", p.limit(0), "f", "at", "gone")])
+    p = p.withColumn("pid", F.monotonically_increasing_id())
+    for n in (1, 3):
+        got = find_orphans([("t", r, "id", "f", "at", p, "pid", "f", "at", "gone")], partitions=5, batches=n)
+        assert {x.ref_id: x.orphan_kind for x in got.collect()} == _kinds(refs, parents)
+    assert sum(x.n_orphans for x in snapshot_counts(got).collect()) == len(_kinds(refs, parents))
+    none = find_orphans([("t", r, "id", "f", "at", p.limit(0), "pid", "f", "at", "gone")])
     assert {x.orphan_kind for x in none.collect()} == {"missing"}
-    assert find_orphans([("t", r.limit(0), "id", "f", "at", p, "f", "at", "gone")]).count() == 0
-
-
-def test_orphan_state_kept_between_batches(spark):
-    refs, parents, r, p = _case(spark)
-    state = OrphanState()
-    for lo, hi in ((0, 40), (40, 70), (70, 200)):
-        a, b = F.lit(T0 + timedelta(hours=lo)), F.lit(T0 + timedelta(hours=hi))
-        # a removal is known when it happens: arrivals and removals come in the batch of their own time
-        pe = parent_events(p, "t", "f", "at", "gone").where((F.col("at") >= a) & (F.col("at") < b))
-        re = reference_events(r, "t", "id", "f", "at").where((F.col("at") >= a) & (F.col("at") < b))
-        orphans, state = process_batch(state, re, pe)
-        state = save_state(state)
-    assert {x.ref_id: x.orphan_kind for x in orphans.collect()} == _kinds(refs, parents)
-    now = {x.ref_id for x in current_orphans(reference_events(r, "t", "id", "f", "at"), state.parents).collect()}
-    alive = {k for k, _, gone in parents if gone is None} | {k for k, a, gone in parents if gone and gone > T0 + timedelta(hours=300)}
-    assert now == {i for i, k, _ in refs if k is not None and k not in alive}
+    assert find_orphans([("t", r.limit(0), "id", "f", "at", p, "pid", "f", "at", "gone")]).count() == 0
+
+
+def _open_now(refs, parents):
+    alive = {k for k, _, gone in parents if gone is None}
+    return {i for i, k, _ in refs if k is not None and k not in alive}
+
+
+def test_orphan_state_in_any_cut_and_order(spark):
+    refs, parents, _, _ = _case(spark)
+    late = lambda h: T0 + timedelta(hours=h)
+    parents = [(i, *p) for i, p in enumerate([*parents, ("hot", late(30), None), ("k4", late(3), late(20)), ("k1", late(1), late(2))])]
+    parents = [(i, k, a, late(99) if k == "hot" else g) for i, k, a, g in parents]
+    refs += [(900, "k4", late(5)), (901, "k4", late(50))]
+    rows = [("r", x) for x in refs] + [("p", (i, k, a, None)) for i, k, a, g in parents] + [("p", x) for x in parents if x[3] is not None]
+    rng = random.Random(4)
+    order = sorted(rows[: len(refs) + len(parents)], key=lambda _: rng.random()) + rows[len(refs) + len(parents) :]  # removals last
+    state, told_r, told_p = OrphanState(), [], {}
+    for lo, hi in ((0, 60), (60, 61), (61, len(refs) + len(parents)), (len(refs) + len(parents), len(order))):
+        batch = order[lo:hi]
+        r, p = [x for kind, x in batch if kind == "r"], [x for kind, x in batch if kind == "p"]
+        rd = reference_events(spark.createDataFrame(r, "id long, f string, at timestamp"), "t", "id", "f", "at") if r else None
+        pd = parent_rows(spark.createDataFrame(p, "pid long, f string, at timestamp, gone timestamp"), "t", "pid", "f", "at", "gone") if p else None
+        before = {x.ref_id for x in open_orphans(spark, state).collect()} if told_r else set()
+        changes, state = process_batch(state, rd, pd, partitions=3)
+        told_r += r
+        told_p |= {x[0]: x[1:] for x in p}
+        known = list(told_p.values())
+        assert {x.ref_id: x.orphan_kind for x in orphans_on_arrival(spark, state).collect()} == _kinds(told_r, known)
+        after = {x.ref_id for x in open_orphans(spark, state).collect()}
+        assert after == _open_now(told_r, known)
+        c = changes.collect()
+        assert {x.ref_id for x in c if x.open and x.was_open is False} == after - before - {x[0] for x in r}  # reopened
+        assert {x.ref_id for x in c if not x.open and x.was_open} == before - after  # resolved
+    assert any(x.was_open is False and x.open for x in c)  # the last batch held removals alone
+
+
+def test_a_parent_sent_again_replaces_itself_and_batches_touch_their_keys_only(spark):
+    at = lambda h: T0 + timedelta(hours=h)
+    refs = lambda rows: reference_events(spark.createDataFrame(rows, "id long, f string, at timestamp"), "t", "id", "f", "at")
+    pars = lambda rows: parent_rows(spark.createDataFrame(rows, "pid long, f string, at timestamp, gone timestamp"), "t", "pid", "f", "at", "gone")
+    _, s1 = process_batch(OrphanState(), refs([(1, "a", at(2)), (2, "b", at(2)), (3, "c", None)]), pars([(1, "a", at(1), None), (2, "b", at(1), None)]))
+    changes, s2 = process_batch(s1, None, pars([(1, "a", at(1), at(5))]))
+    assert [(x.ref_id, x.kind, x.open, x.was_open) for x in changes.collect()] == [(1, None, True, False)]
+    assert {b: p for b, p in s2.references.items() if s1.references.get(b) != p}.keys() <= s1.references.keys() and sum(s2.references[b] != s1.references[b] for b in s1.references) == 1
+    changes, s3 = process_batch(s2, None, pars([(1, "a", at(1), at(5))]))
+    assert changes.count() == 0
+    assert {x.ref_id for x in open_orphans(spark, s3).collect()} == {1, 3}
+    changes, s4 = process_batch(s3, None, pars([(9, "a", at(9), None)]))
+    assert [(x.ref_id, x.open, x.was_open) for x in changes.collect()] == [(1, False, True)]

@@ -131,39 +131,45 @@ def residuals(points: DataFrame, counters: tuple[Counter, ...], source: str = "s
     return blocked.groupBy(source, "block").applyInArrow(fold, T.StructType([*(T.StructField(f.name, f.dataType) for f in kept.fields), *added]))
 
 
-def tail_cutoffs(res: DataFrame, column: str, source: str = "source", tail: float = 0.1, risk: float = 1e-6, gross: float = 8.0, pool: float = 200.0, grain: float = 1.0) -> DataFrame:
+def tail_cutoffs(res: DataFrame, column: str, source: str = "source", tail: float = 0.1, risk: float = 1e-6, gross: float = 8.0, pool: float = 200.0, enough: float = 400.0, grain: float = 1.0) -> DataFrame:
     """Per source the residual that is exceeded at ``risk``: (source, scale, cutoff).
 
     The scale is the robust spread of the residuals, but no less than
-    ``grain``'s rounding.  Excesses of |residual|/scale over its (1 - ``tail``)
-    quantile of a normal law are fitted by the generalised Pareto law
-    (moments).  Gross values (beyond ``gross`` scales) are left out of the
-    fit, or the spikes themselves would set the cutoff.  Sources are short, so
-    their moments are weighed with those of all sources (``pool`` excesses).
-    All moments are sums: any source size, any number of sources.
+    ``grain``'s rounding.  Excesses of |residual|/scale over a threshold are
+    fitted by the generalised Pareto law (moments).  The threshold is the
+    source's own (1 - ``tail``) quantile where it has ``enough`` excesses, the
+    one of a normal law where it has fewer.  Gross values (beyond ``gross``
+    scales) are left out of the fit, or the spikes themselves would set the
+    cutoff.  A source of fewer than ``enough`` excesses borrows ``pool`` of
+    all sources; one that has them is fitted on its own.  All moments are
+    sums: any source size, any number of sources.
     """
     a = F.abs(F.col(f"{column}_res"))
     spread = res.where(f"{column}_res is not null and not isnan({column}_res)").groupBy(source).agg(F.percentile_approx(a, 0.5, 10000).alias("mad"))
     spread = spread.select(source, F.greatest(F.col("mad") * 1.4826, F.lit(grain * 0.6)).alias("scale"))
-    u = 1.6449  # the 0.9 quantile of |N(0,1)|
+    normal = 1.6449  # the 0.9 quantile of |N(0,1)|
     z = F.abs(F.col(f"{column}_res")) / F.col("scale")
     scaled = res.select(source, f"{column}_res").join(spread, source).select(source, "scale", z.alias("z")).where("not isnan(z)")
-    e = F.when((F.col("z") > u) & (F.col("z") <= gross), F.col("z") - u)
-    moments = scaled.where(F.col("z") <= gross).groupBy(source).agg(F.first("scale").alias("scale"), F.count("*").alias("n"), F.count(e).alias("k"), F.coalesce(F.sum(e), F.lit(0.0)).alias("s1"), F.coalesce(F.sum(e * e), F.lit(0.0)).alias("s2"))
+    scaled = scaled.where(F.col("z") <= gross)
+    own = scaled.groupBy(source).agg(F.percentile_approx("z", 1 - tail, 1000).alias("q"), F.count("*").alias("m"))
+    alone = F.col("m") * tail >= enough
+    scaled = scaled.join(own.select(source, F.when(alone, F.col("q")).otherwise(normal).alias("u"), F.when(alone, 0.0).otherwise(pool).alias("pool")), source)
+    e = F.when(F.col("z") > F.col("u"), F.col("z") - F.col("u"))
+    moments = scaled.groupBy(source).agg(F.first("scale").alias("scale"), F.first("u").alias("u"), F.first("pool").alias("pool"), F.count("*").alias("n"), F.count(e).alias("k"), F.coalesce(F.sum(e), F.lit(0.0)).alias("s1"), F.coalesce(F.sum(e * e), F.lit(0.0)).alias("s2"))
     moments = materialize(moments, "moments")
     total = moments.agg(F.sum("n"), F.sum("k"), F.sum("s1"), F.sum("s2")).first()
     n0, k0, m1, m2 = (total[0] or 1, total[1] or 1, total[2] or 0.5, total[3] or 0.5)
-    k = F.col("k") + F.lit(pool)
-    mean = (F.col("s1") + F.lit(pool * m1 / k0)) / k
-    var = F.greatest((F.col("s2") + F.lit(pool * m2 / k0)) / k - mean * mean, F.lit(1e-6))
+    k = F.col("k") + F.col("pool")
+    mean = (F.col("s1") + F.col("pool") * F.lit(m1 / k0)) / k
+    var = F.greatest((F.col("s2") + F.col("pool") * F.lit(m2 / k0)) / k - mean * mean, F.lit(1e-6))
     ratio = mean * mean / var
     shape = F.least(F.greatest(0.5 * (1 - ratio), F.lit(-0.2)), F.lit(0.2))
     sigma = mean * (1 - shape)
-    rate = (F.col("k") + F.lit(pool * k0 / n0)) / (F.col("n") + F.lit(pool))
+    rate = (F.col("k") + F.col("pool") * F.lit(k0 / n0)) / (F.col("n") + F.col("pool"))
     x = F.log(rate / F.lit(risk))
     beyond = F.when(F.abs(shape) < 1e-4, sigma * x).otherwise(sigma / shape * (F.exp(shape * x) - 1))
     # rounding of the reading and of the course each move a residual by up to half a unit
-    return moments.select(source, "scale", ((u + beyond) * F.col("scale") + grain).alias("cutoff"))
+    return moments.select(source, "scale", ((F.col("u") + beyond) * F.col("scale") + grain).alias("cutoff"))
 
 
 def implausible_readings(gps: DataFrame, risk: float = 1e-6, reach: int = 20) -> DataFrame:

@@ -13,6 +13,7 @@ from fieldchirp.functions.keys import clean_key, filename_first_part, nan_to_nul
 from fieldchirp.operators import annotations as ann
 from fieldchirp.operators import clips, codecs, localize, metrics, selection, store
 from fieldchirp.operators.nearby import region_of
+from fieldchirp.operators.small import if_small
 from fieldchirp.plans.tables import sql_key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -460,7 +461,7 @@ def match_windows_first(s, d):
 @query(f"with {_WIN}, {FILES} select w.window_id from win w join files f on w.file = f.file join deployments p on w.deployment_id = p.deployment_id where cast(f.recorded_at as date) between '2023-03-01' and '2024-06-30' and strftime(f.recorded_at, '%H:%M:%S') between '04:00:00' and '10:30:00' and p.project in ('cave_ridge', 'upland_song')")
 def find_windows_filters(s, d):
     w = store.normal_windows(_win(s, d)).join(files(s, d).select("file", "recorded_at"), "file")
-    w = w.join(F.broadcast(table(s, d, "deployments").select("deployment_id", "project")), "deployment_id")  # a fixed list of sites
+    w = w.join(if_small(table(s, d, "deployments").select("deployment_id", "project")), "deployment_id")
     return store.filter_windows(w, ("2023-03-01", "2024-06-30"), ("04:00:00", "10:30:00"), projects=["cave_ridge", "upland_song"]).select("window_id")
 
 

@@ -71,3 +71,20 @@ def test_undecided_is_marked(spark):
     none = spark.createDataFrame([], "key string, start_us long, n long")
     r = settle(f, none).first()
     assert not r.resolved and r.utc_us in row[0][3] and r.posterior < 0.95
+
+
+def test_formats_are_learned_where_no_rule_is_given(spark):
+    """Without deployment nothing says what comes first in slashed dates: a source's clear dates settle the others, or they stay open."""
+    preds = [(i, f"a{i}.wav", 7, 0.0, f"{13 + i % 16}/03/2023 10:00:00 UTC") for i in range(40)] + [(50, "b.wav", 7, 0.0, "04/05/2023 10:00:00 UTC"), (51, "b2.wav", 7, 0.0, "06/06/2023 10:00:00 UTC")]
+    preds += [(100 + i, f"m{i}.wav", 8, 0.0, f"03/{13 + i % 16}/2023 10:00:00 AM UTC") for i in range(40)] + [(80, "n.wav", 8, 0.0, "04/05/2023 10:00:00 AM UTC")]
+    preds += [(90, "o.wav", 9, 0.0, "04/05/2023 10:00:00 UTC"), (91, "q.wav", 10, 0.0, "04/05/2023 10:00:00 UTC"), (92, "q.wav", 10, 60.0, "2023-04-05 10:01:00 UTC")]
+    p = spark.createDataFrame(preds, "pred_id long, file string, deployment_id int, start_time double, start_timestamp string")
+    g = spark.createDataFrame([], "gps_row_id long, audio_file string, deployment_id int, pps_number int, audiomoth_time string, last_rmc_gps_time string")
+    d = spark.createDataFrame([], "deployment_id int, tz_name string, clock_setting string")
+    got = {r.row_id: r for r in recording_times(p, g, d).collect()}
+    assert got[50].utc_us == Z(2023, 5, 4, 10) and got[50].resolved  # day first, as the source writes
+    assert got[51].utc_us == Z(2023, 6, 6, 10) and got[51].resolved
+    assert got[80].utc_us == Z(2023, 4, 5, 10) and got[80].resolved  # month first
+    assert not got[90].resolved and got[90].utc_us in (Z(2023, 4, 5, 10), Z(2023, 5, 4, 10))
+    assert got[91].utc_us == Z(2023, 4, 5, 10) and got[91].resolved  # the recording's other value decides
+    assert len(got) == len(preds)

@@ -6,6 +6,7 @@ Written from textbook definitions; there is no signal library on the workers.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -70,44 +71,47 @@ def pcen(power: np.ndarray, gain: float = 0.8, bias: float = 10.0, root: float =
     return (power / (eps + m) ** gain + bias) ** root - bias**root
 
 
-def butter_sections(order: int, low: float | None, high: float | None, rate: float) -> np.ndarray:
-    """Digital Butterworth filter as second-order sections (b0 b1 b2 a1 a2), by bilinear transform.
-
-    ``low`` alone gives a high-pass, ``high`` alone a low-pass, both a
-    band-pass made of the two in series.
-    """
-    nyq = rate / 2
-    for f in (low, high):
-        if f is not None and not 0 < f < nyq:
-            raise ValueError("filter edges must lie between 0 and half the sample rate")
-    out = []
-    for f, kind in ((low, "high"), (high, "low")):
-        if f is None:
-            continue
-        w = np.tan(np.pi * f / rate)
-        for k in range(order // 2):
-            q = 2 * np.sin(np.pi * (2 * k + 1) / (2 * order))
-            a0 = 1 + q * w + w * w
-            b = np.array([1, 2, 1]) * w * w / a0 if kind == "low" else np.array([1, -2, 1]) / a0
-            out.append([*b, (2 * w * w - 2) / a0, (1 - q * w + w * w) / a0])
-        if order % 2:
-            b = np.array([w, w, 0]) / (1 + w) if kind == "low" else np.array([1, -1, 0]) / (1 + w)
-            out.append([*b, (w - 1) / (w + 1), 0])
-    return np.array(out)
-
-
-def zero_phase(x: np.ndarray, sections: np.ndarray) -> np.ndarray:
+@dataclass(frozen=True)
+class Butterworth:
+    """Digital Butterworth filter by bilinear transform: ``low`` alone a high-pass, ``high`` alone a low-pass, both the band-pass transformed from one prototype."""
+
+    order: int
+    low: float | None
+    high: float | None
+    rate: float
+
+    def __post_init__(self) -> None:
+        for f in (self.low, self.high):
+            if f is not None and not 0 < f < self.rate / 2:
+                raise ValueError("filter edges must lie between 0 and half the sample rate")
+        if self.low is not None and self.high is not None and self.low >= self.high:
+            raise ValueError("the lower edge must lie below the upper one")
+
+    def power(self, n: int) -> np.ndarray:
+        """Squared magnitude at the Fourier bins of ``n`` samples."""
+        warp = lambda f: np.tan(np.pi * np.minimum(f, self.rate * 0.4999999) / self.rate)
+        w = warp(np.fft.rfftfreq(n, 1 / self.rate))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if self.low is not None and self.high is not None:
+                a, b = warp(self.low), warp(self.high)
+                x = (w * w - a * b) / ((b - a) * w)
+            elif self.high is not None:
+                x = w / warp(self.high)
+            elif self.low is not None:
+                x = warp(self.low) / w
+            else:
+                return np.ones(len(w))
+            return 1 / (1 + np.abs(x) ** (2 * self.order))
+
+
+def zero_phase(x: np.ndarray, design: Butterworth) -> np.ndarray:
     """Filter with no delay: the squared magnitude response, applied in the frequency domain over an odd extension."""
     n = len(x)
     if not n:
         return x
-    edge = min(n - 1, 3 * 2 * (2 * len(sections) + 1) * 8)
+    edge = min(n - 1, 48 * (2 * design.order + 1))
     ext = np.concatenate([2 * x[0] - x[edge:0:-1], x, 2 * x[-1] - x[-2 : -edge - 2 : -1]]) if edge else x
-    z = np.exp(-2j * np.pi * np.fft.rfftfreq(len(ext)))
-    h = np.ones(len(z), dtype=complex)
-    for b0, b1, b2, a1, a2 in sections:
-        h *= (b0 + b1 * z + b2 * z * z) / (1 + a1 * z + a2 * z * z)
-    return np.fft.irfft(np.fft.rfft(ext) * np.abs(h) ** 2, len(ext))[edge : edge + n]
+    return np.fft.irfft(np.fft.rfft(ext) * design.power(len(ext)), len(ext))[edge : edge + n]
 
 
 def resample(x: np.ndarray, rate: float, new_rate: float) -> np.ndarray:
@@ -208,7 +212,7 @@ def ribbit_scores(x: np.ndarray, rate: float, band: tuple[float, float], pulse_r
 
 def cwt_peaks(x: np.ndarray, rate: float, frequency: float, threshold: float = 0.2, separation: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Times and heights of peaks of the envelope of a single-scale Morlet transform."""
-    scale = MORLET_CENTRE * rate / frequency
+    scale = frequency_to_scale(frequency, rate)
     t = np.arange(-int(8 * scale), int(8 * scale) + 1) / scale
     w = np.exp(-(t**2) / 2) * np.cos(5 * t) / np.sqrt(scale)
     y = np.convolve(x, w[::-1], "same")[: len(x)]
@@ -235,43 +239,58 @@ def cwt_peaks(x: np.ndarray, rate: float, frequency: float, threshold: float = 0
 
 
 def accel_sequences(t: np.ndarray, dt=(0.05, 0.8), dy=(-0.2, 0.0), d2y=(-0.05, 0.15), max_skip: int = 3, duration=(1.0, 15.0), points=(5, 100)) -> list[np.ndarray]:
-    """Sequences of times that come ever faster: steps, their changes and the changes of these in range.
-
-    A scan that extends the running sequence by every point that fits, passes
-    over up to ``max_skip`` points in a row that don't, and else closes it.
+    """Sequences of times that come ever faster.
+
+    Every time but the last has a gap, the one to the time after it.  A time
+    belongs to the running sequence when its distance from the last one
+    accepted, the change of its gap against that one's gap, and the change of
+    this change all lie in range.  Times that don't belong are passed over;
+    more than ``max_skip`` of them in a row, or a distance out of range, end
+    the sequence.  Kept are sequences with enough points and duration.
     """
+    inside = lambda v, r: r[0] <= v <= r[1]
     found: list[np.ndarray] = []
     run: list[float] = []
-    skipped = 0
+    mark: tuple[float, float, float | None] | None = None  # time, gap and its change where we stand
+    place = 0
 
     def close() -> None:
-        if run and points[0] <= len(run) <= points[1] and duration[0] <= run[-1] - run[0] <= duration[1]:
+        if len(run) > 1 and inside(len(run), points) and inside(run[-1] - run[0], duration):
             found.append(np.array(run))
 
-    inside = lambda v, r: r[0] <= v <= r[1]
-    for now in t:
+    for i, (now, gap) in enumerate(zip(t[:-1], np.diff(t), strict=True)):
+        if mark is not None:
+            change = gap - mark[1]
+            if inside(now - mark[0], dt) and inside(change, dy) and (mark[2] is None or inside(change - mark[2], d2y)):
+                run.append(now)
+                mark, place = (now, gap, change), i
+                continue
         if not run:
-            run = [now]
-            continue
-        step = now - run[-1]
-        fits = inside(step, dt)
-        if fits and len(run) >= 2:
-            change = step - (run[-1] - run[-2])
-            fits = inside(change, dy)
-            if fits and len(run) >= 3:
-                fits = inside(change - ((run[-1] - run[-2]) - (run[-2] - run[-3])), d2y)
-        if fits:
-            run.append(now)
-            skipped = 0
-        elif skipped < max_skip:
-            skipped += 1
-        else:
+            mark = (now, gap, None)
+        elif i - place > max_skip or not inside(now - mark[0], dt):
             close()
-            run, skipped = [now], 0
+            run = []
     close()
     return found
 
 
+def peak_sequences(x: np.ndarray, rate: float, new_rate: float = 400.0, window_s: float = 60.0, frequency: float = 50.0, threshold: float = 0.2, separation: float | None = 15 / 400, **ranges) -> list[tuple]:
+    """Accelerating sequences of wavelet peaks per whole window: (window start, points, first, last, midpoint, times); what is left at the end is dropped."""
+    y = resample(x, rate, new_rate) if rate != new_rate else x
+    n = int(window_s * new_rate)
+    out = []
+    for w in range(len(y) // n):
+        at, _ = cwt_peaks(y[w * n : (w + 1) * n], new_rate, frequency, threshold, separation)
+        for q in accel_sequences(at, **({"points": (9, 100)} | ranges)):
+            out.append((w * window_s, len(q), float(q[0]), float(q[-1]), float((q[0] + q[-1]) / 2), q.tolist()))
+    return out
+
+
+def frequency_to_scale(frequency: float, rate: float, centre: float = MORLET_CENTRE) -> float:
+    """Scale of a wavelet at which its centre lies at a frequency."""
+    return centre * rate / frequency
+
+
 def per_array(kernel: Callable[[np.ndarray], object], returns: str = "array<double>"):
     """Pandas UDF that runs a kernel on every sample array; null gives null."""
 

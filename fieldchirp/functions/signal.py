@@ -81,6 +81,40 @@ def mix(a: Column, b: Column, gain_db: float = -3.0) -> Column:
     return clamp(F.zip_with(a, b, lambda u, v: F.coalesce(u, F.lit(0.0)) * g + F.coalesce(v, F.lit(0.0)) * g))
 
 
+def concat(*tracks: Column) -> Column:
+    """Tracks of one rate after each other; a null track makes the whole null."""
+    return F.concat(*tracks)
+
+
+def mix_tracks(tracks: list[Column], n: Column | int | None = None, gains: list[float] | float = -3.0, offsets: list[int] | None = None, lo: float = -1.0, hi: float = 1.0) -> Column:
+    """Sum of tracks after gain, each delayed by its offset (samples), cut or filled to ``n`` samples (the longest by default), clipped."""
+    gains = gains if isinstance(gains, list) else [gains] * len(tracks)
+    gained = lambda t, g: F.transform(t, lambda v: v * F.lit(10.0 ** (g / 20.0)))
+    placed = [F.concat(F.array_repeat(F.lit(0.0), o), gained(t, g)) for t, g, o in zip(tracks, gains, offsets or [0] * len(tracks), strict=True)]
+    total_ = placed[0]
+    for p in placed[1:]:
+        total_ = F.zip_with(total_, p, lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
+    if n is not None:
+        m = F.lit(n) if isinstance(n, int) else n
+        total_ = F.slice(F.concat(total_, F.array_repeat(F.lit(0.0), F.greatest(m - F.size(total_), F.lit(0)))), F.lit(1), m)
+    return clamp(total_, lo, hi)
+
+
+def duration(x: Column, rate: Column | int) -> Column:
+    return F.size(x) / (F.lit(rate) if isinstance(rate, int) else rate)
+
+
+def trim_with_timestamps(x: Column, rate: int, recorded_at: Column, start: Column, end: Column | None = None, seconds: float | None = None) -> Column:
+    """Samples between two instants; give the end or the seconds after the start.  Instants before the recording count as its begin; null without ``recorded_at``."""
+    if (end is None) == (seconds is None):
+        raise ValueError("give the end or the duration")
+    since = lambda c: (F.unix_micros(c.cast("timestamp")) - F.unix_micros(recorded_at.cast("timestamp"))) / 1e6
+    a = since(start)
+    b = since(end) if end is not None else a + F.lit(seconds)
+    cut = lambda c: F.greatest(F.floor(c * rate), F.lit(0)).cast("int")
+    return F.when(a.isNotNull(), trim_samples(x, cut(a), cut(b)))
+
+
 def to_mono(channels: Column) -> Column:
     """Mean over an array of equally long channels."""
     first = F.element_at(channels, 1)
@@ -128,3 +162,46 @@ def dft_bins(x: Column, n: int, bins: int) -> Column:
         mag = F.sqrt(F.pow(part(math.cos, k), F.lit(2.0)) + F.pow(part(math.sin, k), F.lit(2.0))) * (2.0 / n)
         out.append(mag / 2 if k == 0 or 2 * k == n else mag)
     return F.array(*out)
+
+
+def inrange(v: Column, lo: float, hi: float) -> Column:
+    return v.between(lo, hi)
+
+
+def binarize(v: Column, threshold: float) -> Column:
+    """1 above the threshold, 0 at it and below; null stays null."""
+    return (v > threshold).cast("int")
+
+
+class Track:
+    """A column of samples with its rate, with the usual operators: + joins or adds decibels, - takes them away, * mixes or scales, ** repeats, [a:b] cuts by seconds."""
+
+    def __init__(self, samples: Column, rate: int) -> None:
+        self.samples, self.rate = samples, rate
+
+    def _same(self, other: Track) -> None:
+        if other.rate != self.rate:
+            raise ValueError("tracks of different rates")
+
+    def __add__(self, other: Track | float) -> Track:
+        if isinstance(other, Track):
+            self._same(other)
+            return Track(concat(self.samples, other.samples), self.rate)
+        return Track(apply_gain(self.samples, other), self.rate)
+
+    def __sub__(self, db: float) -> Track:
+        return Track(apply_gain(self.samples, -db), self.rate)
+
+    def __mul__(self, other: Track | float) -> Track:
+        if isinstance(other, Track):
+            self._same(other)
+            return Track(mix_tracks([self.samples, other.samples]), self.rate)
+        return Track(F.transform(self.samples, lambda v: v * F.lit(float(other))), self.rate)
+
+    def __pow__(self, n: int) -> Track:
+        return Track(F.flatten(F.array_repeat(self.samples, n)), self.rate)
+
+    def __getitem__(self, s: slice) -> Track:
+        at = lambda v: None if v is None else int(v * self.rate)
+        a, n = at(s.start) or 0, F.size(self.samples)
+        return Track(trim_samples(self.samples, F.greatest(n + a, F.lit(0)) if a < 0 else a, at(s.stop)), self.rate)

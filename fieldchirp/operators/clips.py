@@ -73,3 +73,56 @@ def sample_rows(clips: DataFrame, audio_root: str | None = None, digits: int = 1
     """Clips as pipeline samples: source path, start, duration."""
     path = F.col("file") if audio_root is None else F.concat(F.lit(audio_root.rstrip("/") + "/"), F.col("file"))
     return clips.select(path.alias("source"), "start_time", F.round(F.col("end_time") - F.col("start_time"), digits).alias("duration"), *[c for c in clips.columns if c not in ("file", "start_time", "end_time")])
+
+
+def split_samples(df: DataFrame, rate: int, clip_duration: float, pad: bool = False, samples: str = "samples", **grid) -> DataFrame:
+    """Clips of sample arrays: the rows with start_time, end_time and the clip's samples, filled with silence at the end if ``pad``."""
+    timed = df.where(F.col(samples).isNotNull()).withColumns({"file": F.monotonically_increasing_id(), "duration": F.size(samples) / F.lit(float(rate))})
+    cut = clip_grid(timed, clip_duration, **grid)
+    a, b = (F.floor(F.round(F.col(c) * rate, 6)).cast("int") for c in ("start_time", "end_time"))
+    part = F.slice(samples, a + 1, F.greatest(b - a, F.lit(0)))
+    if pad:
+        part = F.concat(part, F.array_repeat(F.lit(0.0), F.greatest(b - a - F.size(part), F.lit(0))))
+    return cut.withColumn(samples, part).drop("file")
+
+
+def apply_to_clips(df: DataFrame, f, rate: int, clip_duration: float, name: str = "result", samples: str = "samples", **grid) -> DataFrame:
+    """A column function of every clip's samples, with the clip's times."""
+    return split_samples(df, rate, clip_duration, samples=samples, **grid).withColumn(name, f(F.col(samples))).drop(samples)
+
+
+def ingest_samples(samples: DataFrame | list[str], spark=None, durations: DataFrame | None = None, clip_duration: float | None = None, **grid) -> DataFrame:
+    """Samples however given as (file, start_time, end_time, labels...): a list of files, a table of files, or a table of clips.
+
+    Files without times are cut into clips by the grid (``durations``: file,
+    duration) or, without a clip duration, stand whole with null times.
+    """
+    df = spark.createDataFrame([(f,) for f in samples], "file string") if isinstance(samples, list) else samples
+    if "file" not in df.columns:
+        raise ValueError("samples need a column file")
+    if {"start_time", "end_time"} <= set(df.columns):
+        return df.select("file", "start_time", "end_time", *[c for c in df.columns if c not in ("file", "start_time", "end_time")])
+    rest = [c for c in df.columns if c != "file"]
+    if clip_duration is None:
+        null = F.lit(None).cast("double")
+        return df.select("file", null.alias("start_time"), null.alias("end_time"), *rest)
+    if durations is None:
+        raise ValueError("clips need the durations of the files")
+    return clip_grid(df.join(durations, "file", "left"), clip_duration, **grid).select("file", "start_time", "end_time", *rest)
+
+
+def check_labels(df: DataFrame, classes: list[str], keys: tuple[str, ...] = ("file", "start_time", "end_time")) -> DataFrame:
+    """The table, if its label columns are the classes in order and all labels lie within 0 and 1 (null is unknown); else ``ValueError``."""
+    have = [c for c in df.columns if c not in keys]
+    if have != list(classes):
+        raise ValueError(f"label columns {have} are not the classes {list(classes)}")
+    off = [F.count_if((F.col(c).cast("double") < 0) | (F.col(c).cast("double") > 1)).alias(c) for c in classes]
+    bad = {c: n for c, n in df.agg(*off).first().asDict().items() if n} if classes else {}
+    if bad:
+        raise ValueError(f"labels outside 0 to 1: {bad}")
+    return df
+
+
+def without_foreign_classes(df: DataFrame, classes: list[str], keys: tuple[str, ...] = ("file", "start_time", "end_time")) -> DataFrame:
+    """The keys alone where the label columns differ from the classes, else the table as it is."""
+    return df if [c for c in df.columns if c not in keys] == list(classes) else df.select(*keys)

@@ -1,6 +1,6 @@
 """Label encodings: multi-hot columns, names and indices, all as column expressions."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,10 @@ def melt(df: DataFrame, keys: list[str], classes: list[str], value: str = "value
 def spread(df: DataFrame, keys: list[str], classes: list[str], value: str = "value") -> DataFrame:
     """Long to wide with a stable schema."""
     return df.groupBy(*keys).agg(*[F.max(F.when(F.col("class") == c, F.col(value))).alias(c) for c in classes])
+
+
+def class_table(df: DataFrame, label: str, order: str) -> DataFrame:
+    """Classes in the order they are first seen: (class_index, class).  One row a class, so the rank's single task is as small as their list."""
+    first = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("class")).agg(F.min(order).alias("__first"))
+    rank = F.row_number().over(Window.orderBy("__first", "class")) - 1
+    return first.select(rank.cast("int").alias("class_index"), "class")

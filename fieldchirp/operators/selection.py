@@ -95,3 +95,28 @@ def unlabelled(df: DataFrame, classes: list[str]) -> DataFrame:
     for c in classes:
         none = none & F.col(c).isNull()
     return df.where(none)
+
+
+def split_exact(df: DataFrame, keys: list[str], test_share: float = 0.2, seed: int = 0) -> DataFrame:
+    """Add ``split``: of n rows exactly round(share * n) are test rows, the first in seeded order."""
+    n = df.count()
+    ranked = _ranked(df, [], hash_order(seed, *keys), "__k")
+    return ranked.withColumn("split", F.when(F.col("__k") <= int(test_share * n + 0.5), "test").otherwise("train")).drop("__k")
+
+
+def split_paired_files(files: DataFrame, ann: DataFrame, test_share: float = 0.2, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Reviewed files (audio_file, annotation_file) and annotations with the split of their audio file; files without annotations keep theirs."""
+    marked = split_by_file(files, test_share, seed, "audio_file")
+    return marked, ann.join(marked.select("audio_file", "split").distinct(), "audio_file", "left")
+
+
+def sample(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows in seeded order."""
+    return df.orderBy(hash_order(seed, *keys), *keys).limit(n)
+
+
+def batch_of(df: DataFrame, keys: list[str], batch_size: int) -> DataFrame:
+    """Add the number of the batch that a row belongs to, in the order of the keys."""
+    one = df.withColumn("__one", F.lit(1).cast("long"))
+    placed = running(one, [], [F.col(k).asc() for k in keys], {"__k": "__one"}, name="batches")
+    return placed.withColumn("batch", F.floor((F.col("__k") - 1) / batch_size)).drop("__k", "__one")

@@ -713,11 +713,6 @@ def gcc_tdoa(s, d):
     return _samples(s, d).select("id", dsp.per_array(delay)(F.col("x")).alias("delay_and_peak"))
 
 
-@query()
-def spectrogram_rms(s, d):
-    return _samples(s, d).select("id", dsp.per_array(lambda x: dsp.frame_rms(dsp.power_spectrogram(x, 16)))(F.col("x")).alias("rms"))
-
-
 @query()
 def pulse_score(s, d):
     return _samples(s, d).select("id", dsp.per_array(lambda x: dsp.pulse_score(abs(x), 64.0, (2.0, 12.0)), "double")(F.col("x")).alias("score"))
@@ -725,12 +720,7 @@ def pulse_score(s, d):
 
 @query()
 def bandpass_filter(s, d):
-    return _samples(s, d).select("id", dsp.per_array(lambda x: dsp.zero_phase(x, dsp.butter_sections(5, 4.0, 20.0, 64.0)))(F.col("x")).alias("filtered"))
-
-
-@query()
-def resample_half(s, d):
-    return _samples(s, d).select("id", dsp.per_array(lambda x: dsp.resample(x, 64.0, 32.0))(F.col("x")).alias("resampled"))
+    return _samples(s, d).select("id", dsp.per_array(lambda x: dsp.zero_phase(x, dsp.Butterworth(5, 4.0, 20.0, 64.0)))(F.col("x")).alias("filtered"))
 
 
 @query()

@@ -6,6 +6,7 @@ import io
 import json
 import os
 import re
+import struct
 import wave
 from collections.abc import Iterator
 
@@ -13,6 +14,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import MapType, StringType
+
+from fieldchirp.operators.clips import split_samples
 
 SCHEMA = "path string, channel int, sample_rate int, n_channels int, duration double, samples array<float>, error string"
 
@@ -38,6 +43,61 @@ def decode(content: bytes, offset: float = 0.0, duration: float | None = None) -
     return x.reshape(-1, ch).T, rate
 
 
+# Tags of the INFO chunk by the names they have here.
+TAGS = {"title": b"INAM", "artist": b"IART", "comment": b"ICMT", "copyright": b"ICOP", "software": b"ISFT", "album": b"IPRD", "date": b"ICRD", "genre": b"IGNR", "tracknumber": b"ITRK", "engineer": b"IENG"}
+
+
+def with_tags(data: bytes, tags: dict[str, str]) -> bytes:
+    """A WAV file with its INFO chunk set; an empty tag becomes a single blank."""
+    body = b""
+    for name, value in tags.items():
+        raw = (value or " ").encode() + b"\0"
+        body += TAGS[name] + struct.pack("<I", len(raw)) + raw + b"\0" * (len(raw) % 2)
+    kept = [(k, c) for k, c in _chunks(data) if not (k == b"LIST" and c[:4] == b"INFO")]
+    out = b"WAVE" + b"".join(k + struct.pack("<I", len(c)) + c + b"\0" * (len(c) % 2) for k, c in [*kept, (b"LIST", b"INFO" + body)])
+    return b"RIFF" + struct.pack("<I", len(out)) + out
+
+
+def _chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        raise wave.Error("not a WAV file")
+    at = 12
+    while at + 8 <= len(data):
+        n = struct.unpack("<I", data[at + 4 : at + 8])[0]
+        yield data[at : at + 4], data[at + 8 : at + 8 + n]
+        at += 8 + n + n % 2
+
+
+def parse_tags(data: bytes) -> dict[str, str]:
+    """Tags of a WAV file's INFO chunk, with samplerate, channels, duration and filesize; none of the former where there is no chunk."""
+    names = {v: k for k, v in TAGS.items()}
+    found: dict[str, str] = {}
+    for key, body in _chunks(data):
+        if key == b"LIST" and body[:4] == b"INFO":
+            at = 4
+            while at + 8 <= len(body):
+                n = struct.unpack("<I", body[at + 4 : at + 8])[0]
+                if body[at : at + 4] in names:
+                    found[names[body[at : at + 4]]] = body[at + 8 : at + 8 + n].rstrip(b"\0").decode("utf-8", "replace")
+                at += 8 + n + n % 2
+    with wave.open(io.BytesIO(data)) as w:
+        found |= {"samplerate": str(w.getframerate()), "channels": str(w.getnchannels()), "duration": repr(w.getnframes() / w.getframerate()), "filesize": str(len(data))}
+    return found
+
+
+@pandas_udf(MapType(StringType(), StringType()))
+def wav_tags(content: pd.Series) -> pd.Series:
+    """Tags of the bytes of WAV files; null for what isn't one."""
+
+    def one(c):
+        try:
+            return None if c is None else parse_tags(c)
+        except (wave.Error, EOFError, ValueError, struct.error):
+            return None
+
+    return content.map(one)
+
+
 def encode(x: np.ndarray, rate: int) -> bytes:
     """16-bit WAV of channels x samples."""
     buf = io.BytesIO()
@@ -95,6 +155,17 @@ def write_wav(df: DataFrame, folder: str, name: str = "name") -> DataFrame:
     return df.select(name, "samples", "sample_rate").mapInPandas(run, "path string, n_bytes long")
 
 
+def split_and_save(df: DataFrame, folder: str, clip_duration: float, rate: int, prefix: str = "prefix", dry_run: bool = False, **grid) -> DataFrame:
+    """Clips of recordings (prefix, samples) as files ``prefix_<start>s_<end>s.wav``: (path, start_time, end_time, n_bytes); with ``dry_run`` the table alone."""
+    cut = split_samples(df.select(prefix, "samples"), rate, clip_duration, pad=grid.get("final_clip", "extend") == "extend", **grid)
+    named = cut.withColumn("name", F.concat(F.col(prefix), F.lit("_"), F.col("start_time").cast("string"), F.lit("s_"), F.col("end_time").cast("string"), F.lit("s.wav")))
+    path = F.concat(F.lit(folder.rstrip("/") + "/"), "name")
+    if dry_run:
+        return named.select(path.alias("path"), "start_time", "end_time")
+    written = write_wav(named.withColumn("sample_rate", F.lit(rate)), folder)
+    return named.select(path.alias("path"), "start_time", "end_time").join(written, "path")
+
+
 def comment_metadata(comment: Column, prefix: str) -> Column:
     """JSON kept in a comment behind a prefix, as a map of strings; null without it."""
     return F.when(comment.startswith(prefix), F.from_json(F.substr(comment, F.lit(len(prefix) + 1)), "map<string,string>"))

@@ -21,12 +21,12 @@ def test_spectrum_and_rms_of_a_tone():
 def test_filters_pass_and_stop():
     t = np.arange(4000) / 1000
     low, high = np.sin(2 * np.pi * 10 * t), np.sin(2 * np.pi * 200 * t)
-    y = dsp.zero_phase(low + high, dsp.butter_sections(5, None, 50, 1000))
+    y = dsp.zero_phase(low + high, dsp.Butterworth(5, None, 50, 1000))
     assert np.abs(y - low)[200:-200].max() < 0.02
-    y = dsp.zero_phase(low + high, dsp.butter_sections(5, 100, 300, 1000))
+    y = dsp.zero_phase(low + high, dsp.Butterworth(5, 100, 300, 1000))
     assert np.abs(y - high)[200:-200].max() < 0.02
     with pytest.raises(ValueError):
-        dsp.butter_sections(5, 0, None, 1000)
+        dsp.Butterworth(5, 0, None, 1000)
     r = dsp.resample(low, 1000, 500)
     assert len(r) == 2000 and np.abs(r - low[::2])[50:-50].max() < 0.05
 
@@ -49,7 +49,9 @@ def test_pulses_peaks_and_sequences():
     at, h = dsp.cwt_peaks(x, 400, 50, 0.3, 0.2)
     assert np.allclose(at, [2.05, 5.05, 7.8], atol=0.05)
     beats = np.cumsum(np.linspace(0.7, 0.1, 30))
-    assert [len(s) for s in dsp.accel_sequences(beats)] == [30]
+    assert [len(s) for s in dsp.accel_sequences(beats)] == [28]  # the first sets the reference, the last has no gap
+    drum = [1.02754281, 1.83007625, 1.96758198, 2.17759073, 3.19263303, 3.93266386, 4.52518855, 5.00270845, 5.43522647, 5.80024168, 5.84524355, 6.15275636, 6.44776866, 6.72278012, 6.98279095, 7.20280012, 7.41030876, 7.61781741, 7.79782491, 7.95533147, 8.11033793, 8.26784449, 8.3928497, 8.51785491, 8.64786033, 8.74786449, 8.86036918, 8.95287304, 9.02787616, 9.1128797, 9.25538564, 9.31788825, 9.37789075, 9.66540273, 9.82290929, 9.91041293, 10.0104171, 10.11792158, 10.37293221, 13.94058086]
+    assert [len(s) for s in dsp.accel_sequences(np.array(drum))] == [19]
     assert dsp.accel_sequences(np.arange(30) * 5.0) == []
     assert len(dsp.ribbit_scores(np.sin(2 * np.pi * 400 * np.arange(8000) / 2000), 2000, (300, 500), (5, 20), 1.0)) == 4
     assert abs(20 * math.log10(math.sqrt(2) * np.sqrt(np.mean(dsp.noise(4096, "pink", -20) ** 2))) + 20) < 0.5

@@ -92,6 +92,8 @@ def merge_intervals(df: DataFrame, entity: str, start: str, end: str, partitions
     rows = df.select(F.col(entity).alias("entity"), F.col(start).cast("long").alias("from_ms"), F.col(end).cast("long").alias("to_ms")).where(
         "entity is not null and from_ms is not null and to_ms > from_ms"
     )
+    # Of intervals that begin together the longest says all: repeats are gone before the sort, so any number of them can be split.
+    rows = rows.groupBy("entity", "from_ms").agg(F.max("to_ms").alias("to_ms"))
     scan = ordered_pass(rows, ["entity"], ["from_ms", "to_ms"], _local_islands, _SCHEMA, partitions, "intervals")
     # Chain: what the entity that begins a partition has behind it (its furthest end, and where that island began).
     carries, open_entity, far, anchor = [], None, None, None

@@ -18,7 +18,7 @@ from fieldchirp.plans.tables import sql_key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-CLASSES = ["reedling", "mire thrush", "dusk warbler", "tin whistler", "fen rail"]
+CLASSES = ["reedling", "mire thrush", "dusk warbler", "tin whistler", "fen rail", "marsh ticker", "grey croaker", "hill piper"]
 
 
 def query(sql: str | None = None) -> Callable:
@@ -237,7 +237,7 @@ def multihot_to_categorical(s, d):
     return _lists(s, d).select("audio_file", F.array_join(codecs.multi_hot_to_categorical(hot, CLASSES), ",").alias("labels"))
 
 
-@query(f"with {_LISTS} select audio_file, array_to_string(list_filter([0, 1, 2, 3, 4], lambda i: list_contains(labels, [{_IN}][i + 1])), ',') labels from lists")
+@query(f"with {_LISTS} select audio_file, array_to_string(list_filter({list(range(len(CLASSES)))}, lambda i: list_contains(labels, [{_IN}][i + 1])), ',') labels from lists")
 def multihot_to_integers(s, d):
     hot = codecs.categorical_to_multi_hot(F.col("labels"), CLASSES)
     back = codecs.multi_hot_to_integers(codecs.integer_to_multi_hot(codecs.multi_hot_to_integers(hot), len(CLASSES)))
@@ -517,11 +517,15 @@ def count_detections_bins(s, d):
     return store.count_in_bins(_scores(s, d), [(-1.0, 0.0), (0.0, 0.5), (0.25, 1.0)])
 
 
-@query(f"with {_WIN}, o as (select file, start_time, end_time, min(window_id) window_id from win group by 1, 2, 3), a as (select * from o where window_id % 2 = 0), b as (select file, start_time, end_time, -window_id window_id from o where window_id % 3 = 0) select file, start_time, end_time, coalesce(a.window_id, b.window_id) window_id from a full join b using (file, start_time, end_time)")
+@query(
+    f"with {_WIN}, a as (select file, start_time, end_time, min(window_id) window_id from win group by 1, 2, 3), b as (select {sql_key('file')} file, round(start_time, 6) start_time, round(end_time, 6) end_time, -min(det_id) - 1 window_id from loca_2021_detections group by 1, 2, 3)"
+    " select file, start_time, end_time, coalesce(a.window_id, b.window_id) window_id from a full join b using (file, start_time, end_time)"
+)
 def dataset_merge_skip(s, d):
-    o = store.first_windows(_win(s, d)).select("file", "start_time", "end_time", "window_id")
-    b = o.where("window_id % 3 = 0").withColumn("window_id", -F.col("window_id"))
-    return store.merge_labels(o.where("window_id % 2 = 0"), b, ["window_id"])
+    old = store.first_windows(_win(s, d)).select("file", "start_time", "end_time", "window_id")
+    det = table(s, d, "loca_2021_detections").select(F.col("det_id").alias("window_id"), "file", "start_time", "end_time")
+    new = store.first_windows(det.withColumn("extra", F.lit(0))).select("file", "start_time", "end_time", (-F.col("window_id") - 1).alias("window_id"))
+    return store.merge_labels(old, new, ["window_id"])
 
 
 @query("select vec_id window_id, round(list_max(list_transform(embedding, lambda x: least(greatest(x, -0.2), 0.2))), 6) top, round(list_min(list_transform(embedding, lambda x: least(greatest(x, -0.2), 0.2))), 6) bottom from embeddings")

@@ -9,24 +9,29 @@ from pyspark.sql.streaming import StreamingQuery
 from fieldchirp.operators.orphans import OrphanState, open_orphans, parent_rows, process_batch, reference_events, snapshot_counts
 from fieldchirp.operators.store import first_windows, missing_windows
 
+BUCKETS = 64
+
 
 def ingest_windows(stream: DataFrame, store: str, checkpoint: str, mode: str = "skip") -> StreamingQuery:
     """Append new windows of a stream to a Parquet store.
 
     Each batch is written to its own folder, overwritten if the batch is run
-    again, so a restart neither loses nor repeats windows.
+    again, so a restart neither loses nor repeats windows.  Windows lie in
+    buckets of their file; a batch reads the buckets of its own files only.
     """
+    bucket = F.pmod(F.xxhash64("file"), F.lit(BUCKETS)).cast("int")
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = first_windows(batch)
         try:
-            old = spark.read.parquet(store).where(F.col("batch") != epoch)
+            mine = [r[0] for r in new.select(bucket.alias("b")).distinct().collect()]  # at most BUCKETS
+            old = spark.read.parquet(store).where((F.col("batch") != epoch) & F.col("bucket").isin(mine))
             new = missing_windows(new, old, mode)
         except Exception as e:  # noqa: BLE001 - the first batch finds no store yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-        new.write.mode("overwrite").parquet(f"{store}/batch={epoch}")
+        new.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -120,3 +120,26 @@ def batch_of(df: DataFrame, keys: list[str], batch_size: int) -> DataFrame:
     one = df.withColumn("__one", F.lit(1).cast("long"))
     placed = running(one, [], [F.col(k).asc() for k in keys], {"__k": "__one"}, name="batches")
     return placed.withColumn("batch", F.floor((F.col("__k") - 1) / batch_size)).drop("__k", "__one")
+
+
+def weighted_draws(df: DataFrame, label: str, keys: list[str], n: int, seed: int = 0) -> DataFrame:
+    """``n`` draws with replacement, every class as likely as any other and every row of a class as the next: (draw, label, keys).
+
+    Draw i names a class and a place in it by hash; rows come by their place
+    in seeded order.  Draws and rows meet by equality, nothing is collected
+    but the list of classes.
+    """
+    ranked = class_aware_order(df, label, keys, seed)
+    counts = sorted((r[0], r[1]) for r in df.groupBy(label).count().collect())
+    spark = df.sparkSession
+    part = lambda a, b: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(a), F.col("draw").cast("string"))), 1, b), 16, 10).cast("long")
+    which = (part("class", 8) % len(counts)).cast("int")
+    table = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(m).alias("m")) for c, m in counts])
+    draws = spark.range(n).withColumnRenamed("id", "draw").withColumn("w", F.element_at(table, which + 1))
+    draws = draws.select("draw", F.col("w.c").alias(label), (part("row", 12) % F.col("w.m") + 1).alias("turn"))
+    return draws.join(ranked, [label, "turn"]).select("draw", label, *keys)
+
+
+def class_turns(df: DataFrame, label: str, keys: list[str], per_turn: int = 1, seed: int = 0) -> DataFrame:
+    """Order in which classes take turns, ``per_turn`` rows at a visit: adds ``visit``, whole-numbered from 0."""
+    return class_aware_order(df, label, keys, seed).withColumn("visit", F.floor((F.col("turn") - 1) / per_turn)).drop("turn")

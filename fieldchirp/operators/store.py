@@ -46,20 +46,56 @@ def first_windows(windows: DataFrame) -> DataFrame:
     return normal_windows(windows).groupBy(*WINDOW_KEY).agg(F.min_by(F.struct(*rest), "window_id").alias("r")).select(*WINDOW_KEY, "r.*")
 
 
+def random_match(clips: DataFrame, windows: DataFrame, seed: int = 0) -> DataFrame:
+    """One stored window of each clip, chosen by a keyed hash; null where the store has none."""
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("window_id").cast("string")))
+    hit = normal_windows(windows).groupBy(*WINDOW_KEY).agg(F.min_by("window_id", order).alias("window_id"))
+    return normal_windows(clips).join(hit, WINDOW_KEY, "left")
+
+
+def stratified_selection(
+    scores: DataFrame, k: int | None = 5, strategy: str = "top_k", strata: tuple[str, ...] = (), by_day: bool = False, date_ranges: list[tuple[str, str]] | None = None,
+    min_score: float | None = None, max_score: float | None = None, seed: int = 0,
+) -> DataFrame:
+    """Select in every stratum at once: by columns, by day of ``recorded_at``, or by date ranges (both days in; ranges may overlap).
+
+    Adds ``date_range``: the day, the range, or null.
+    """
+    if by_day and date_ranges:
+        raise ValueError("give days or date ranges")
+    day = F.to_date("recorded_at")
+    if by_day:
+        rows = scores.where(day.isNotNull()).withColumn("date_range", day.cast("string"))
+    elif date_ranges:
+        inside = [F.when(day.between(F.lit(a).cast("date"), F.lit(b).cast("date")), F.lit(f"{a}/{b}")) for a, b in date_ranges]
+        rows = scores.withColumn("date_range", F.explode(F.array_compact(F.array(*inside))))
+    else:
+        rows = scores.withColumn("date_range", F.lit(None).cast("string"))
+    return select_windows(rows, k, strategy, min_score, max_score, (*strata, "date_range"), seed)
+
+
 def clip_values(v: Column, limit: float) -> Column:
     """Embedding values clamped to what the stored type holds."""
     return F.transform(v, lambda x: F.least(F.greatest(x, F.lit(-limit)), F.lit(limit)))
 
 
 def filter_windows(
-    windows: DataFrame, date_range: tuple[str, str] | None = None, time_range: tuple[str, str] | None = None, deployments: list | None = None, projects: list | None = None, recordings: list | None = None
-) -> DataFrame:
+    windows: DataFrame, date_range: tuple[str, str] | None = None, time_range: tuple[str, str] | None = None, deployments: list | None = None, projects: list | None = None, recordings: list | None = None,
+    windows_filter: Column | str | None = None, annotated: DataFrame | None = None,
+) -> DataFrame:
     """Windows joined with their recordings (recorded_at, deployment_id, project, file), filtered.
 
     Dates count whole days, both ends in; times of day both ends in, without
     wrapping midnight.  A null recorded_at passes no date or time filter.
+    ``windows_filter`` is any condition on the columns; ``annotated`` keeps the
+    windows that an annotation (audio_file, start_time, end_time) overlaps.
     """
-    out = windows
+    out = windows if windows_filter is None else windows.where(windows_filter)
+    if annotated is not None:
+        from fieldchirp.operators.annotations import clip_matches
+
+        hit = clip_matches(out, annotated.withColumn("annotation", F.lit("any")), 0.0)
+        out = out.join(hit.select(*WINDOW_KEY).distinct(), WINDOW_KEY, "left_semi")
     if date_range:
         day = F.to_date("recorded_at")
         out = out.where(day.between(F.lit(date_range[0]).cast("date"), F.lit(date_range[1]).cast("date")))

@@ -307,3 +307,79 @@ def ribbit_scores(s, d):
 def mlp_scores(s, d):
     layers = [([w[:64] for w in WEIGHTS.values()], [0.0] * 10), ([[1.0] * 10, [0.5] * 10], [0.1, 0.2])]
     return _windows(s, d).select("window_id", store.mlp_forward(layers)(F.col("embedding")).alias("logits"))
+
+
+# ---- losses, draws, strata, inference
+
+
+
+
+@query(f"with x as (select vec_id id, [" + ", ".join(_dot_sql(w) for w in WEIGHTS.values()) + "] v, label from embeddings) select id, round(ln(list_sum(list_transform(v, lambda a: exp(a - list_max(v))))) + list_max(v) - v[label + 1], 6) loss from x")
+def cross_entropy_hot(s, d):
+    from fieldchirp.functions import losses
+
+    v = F.array(*[F.round(store.dot(F.col("embedding"), F.array(*[F.lit(x) for x in w])), 6) for w in WEIGHTS.values()])
+    hot = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (i == F.col("label")).cast("int"))
+    return _windows(s, d).select(F.col("window_id").alias("id"), F.round(losses.cross_entropy_hot(v, hot), 6).alias("loss"))
+
+
+@query(
+    f"with {_SCORES}, f as (select class, cast(sum(target) as double) f from scores group by 1), r as (select *, sum(target / f) over (partition by window_id) held, (select sum(f) from f) n from scores join f using (class)),"
+    " w as (select *, (case when held > 0 then 1 / (1 + exp(-0.2 * (1 / f / held - 0.1))) else 1.0 end + 10) / case when target = 1 then 1.0 else 0.2 end weight, (score - ln(n / f - 1) * 0.25) * case when target = 1 then 1.0 else 0.2 end z from r)"
+    " select window_id, class, round(weight, 5) weight, round(weight * (greatest(z, 0) - z * target + ln(1 + exp(-abs(z)))), 5) loss from w"
+)
+def resample_loss(s, d):
+    from fieldchirp.functions import losses
+
+    r = losses.resample_loss(_scores(s, d).select("window_id", "class", F.col("score").alias("x"), F.col("target").alias("t")))
+    return r.select("window_id", "class", F.round("weight", 5).alias("weight"), F.round("loss", 5).alias("loss"))
+
+
+_HEX = "cast('0x' || substr(md5(concat_ws('|', '4', '{}', cast(draw as varchar))), 1, {}) as bigint)"
+
+
+@query(
+    "with a as (select ann_id, annotation, row_number() over (partition by annotation order by md5(concat_ws('|', '4', cast(ann_id as varchar)))) turn from boxed_annotations where annotation is not null),"
+    " c as (select annotation, count(*) m, row_number() over (order by annotation) - 1 i, count(*) over () n from a group by 1), d as (select range draw from range(0, 500))"
+    f" select draw, annotation, ann_id from d join c on {_HEX.format('class', 8)} % c.n = c.i join a using (annotation) where a.turn = {_HEX.format('row', 12)} % c.m + 1"
+)
+def weighted_draws(s, d):
+    return selection.weighted_draws(table(s, d, "boxed_annotations").where("annotation is not null").select("ann_id", "annotation"), "annotation", ["ann_id"], 500, 4)
+
+
+@query("select ann_id, annotation, cast((row_number() over (partition by annotation order by md5(concat_ws('|', '9', cast(ann_id as varchar)))) - 1) // 3 as bigint) visit from boxed_annotations where annotation is not null")
+def class_turns(s, d):
+    a = table(s, d, "boxed_annotations").where("annotation is not null").select("ann_id", "annotation")
+    return selection.class_turns(a, "annotation", ["ann_id"], 3, 9).select("ann_id", "annotation", F.col("visit").cast("long").alias("visit"))
+
+
+_PS = f"ps as (select w.window_id, w.deployment_id, cast(cast(f.recorded_at as date) as varchar) date_range, p.test_species score from win w join localizer_preds p on p.pred_id = w.window_id join files f on f.file = w.file where f.recorded_at is not null and p.test_species >= 0.2 and not isnan(p.test_species))"
+
+
+@query(f"with {_WIN}, {FILES}, {_PS}, r as (select *, row_number() over (partition by deployment_id, date_range order by score desc, window_id) k from ps) select deployment_id, date_range, window_id, cast(k as integer) as \"rank\" from r where k <= 2")
+def stratified_by_day(s, d):
+    p = table(s, d, "localizer_preds").where(~F.isnan("test_species")).select(F.col("pred_id").alias("window_id"), "file", "start_time", "end_time", F.col("deployment_id"), F.col("test_species").alias("score"))
+    w = store.normal_windows(p).join(files(s, d).select("file", "recorded_at"), "file").withColumn("class", F.lit("species"))
+    return store.stratified_selection(w, 2, strata=("deployment_id",), by_day=True, min_score=0.2).select("deployment_id", "date_range", "window_id", "rank")
+
+
+@query(f"with {_WIN}, {catalog.ANN} select window_id from win w where deployment_id < 20 and end_time > start_time and exists (select 1 from ann a where a.audio_file = w.file and a.end_time > a.start_time and a.start_time < w.end_time and a.end_time > w.start_time)")
+def find_windows_annotated(s, d):
+    w = store.normal_windows(_win(s, d))
+    return store.filter_windows(w, windows_filter="deployment_id < 20", annotated=annotations(s, d)).select("window_id")
+
+
+@query(f"with {_WIN} select file, start_time, end_time, arg_min(window_id, md5(concat_ws('|', '3', cast(window_id as varchar)))) window_id from win where file is not null and start_time is not null and end_time is not null group by 1, 2, 3")
+def match_windows_random(s, d):
+    w = store.normal_windows(_win(s, d)).where("file is not null and start_time is not null and end_time is not null")
+    return store.random_match(w.select("file", "start_time", "end_time").distinct(), w, 3)
+
+
+@query(f"with {_X} select 'f' || cast(id as varchar) file, 0.0 start_time, 1.0 end_time, round(1 / (1 + exp(-list_dot_product(x[1:48], cast({WEIGHTS['c0'][:48]} as double[])))), 6) a, round(1 / (1 + exp(-list_dot_product(x[1:48], cast({WEIGHTS['c1'][:48]} as double[])))), 6) b from x")
+def predict_scores(s, d):
+    from fieldchirp.operators import inference
+
+    c = _samples(s, d).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("file"), F.lit(0.0).alias("start_time"), F.lit(1.0).alias("end_time"), F.col("id"), F.col("x").alias("samples"))
+    score = store.mlp_forward([([WEIGHTS["c0"][:48], WEIGHTS["c1"][:48]], [0.0, 0.0])])
+    p = inference.predict(c, inference.audio_preset(48), score, ["a", "b"], "sigmoid")
+    return p.select("file", "start_time", "end_time", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))

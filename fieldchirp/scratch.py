@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_ends: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/fieldchirp/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own folder, which the file system deletes when the driver ends."""
+    home = f"{shared_dir(spark)}/fieldchirp/{spark.sparkContext.applicationId}"
+    if home not in _ends:
+        _ends.add(home)
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(home)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:

@@ -11,6 +11,7 @@ from fieldchirp.functions.keys import clean_key
 from fieldchirp.operators import annotations as ann
 from fieldchirp.operators import clips, codecs, metrics, selection, store
 from fieldchirp.sources import raven, wav
+from fieldchirp.operators.orphans import orphans_on_arrival
 from fieldchirp.streaming.ingest import OrphanTracker, detection_counts, ingest_windows
 
 BOX = "audio_file string, annotation string, start_time double, end_time double, low_f double, high_f double"
@@ -146,11 +147,15 @@ def test_streams(spark, tmp_path):
 
 
 def test_orphan_tracker(spark):
-    t = OrphanTracker("t", ("id", "f", "at"), ("f", "at", None))
+    t = OrphanTracker("t", ("id", "f", "at"), (None, "f", "at", None))
+    kinds = lambda: {r.ref_id: r.orphan_kind for r in orphans_on_arrival(spark, t.state).collect()}
     refs = spark.createDataFrame([(1, "k", "2024-01-01"), (2, "z", "2024-01-01")], "id long, f string, at string").withColumn("at", F.to_timestamp("at"))
-    assert {r.ref_id: r.orphan_kind for r in t.on_batch(refs, None).collect()} == {1: "missing", 2: "missing"}
+    assert {(r.ref_id, r.kind, r.open, r.was_open) for r in t.on_batch(refs, None).collect()} == {(1, "missing", True, None), (2, "missing", True, None)}
+    assert kinds() == {1: "missing", 2: "missing"}
     parents = spark.createDataFrame([("k", "2024-02-01")], "f string, at string").withColumn("at", F.to_timestamp("at"))
-    assert {r.ref_id: r.orphan_kind for r in t.on_batch(None, parents).collect()} == {1: "late", 2: "missing"}
+    assert {(r.ref_id, r.kind, r.open, r.was_open) for r in t.on_batch(None, parents).collect()} == {(1, "late", False, True)}
+    assert kinds() == {1: "late", 2: "missing"}
+    assert [(r.month, r.orphan_kind, r.n_orphans) for r in t.snapshot(spark).collect()] == [("2024-01", "missing", 1)]
 
 
 def test_entry_lists_agree():
@@ -161,7 +166,7 @@ def test_entry_lists_agree():
 
 def test_kernel_queries_run(spark):
     q = entry.queries()
-    for name in ("gcc_tdoa", "spectrogram_rms", "pulse_score", "bandpass_filter", "resample_half", "accel_sequences"):
+    for name in ("gcc_tdoa", "pulse_score", "bandpass_filter", "accel_sequences", "mel_and_pcen", "ribbit_scores", "mlp_scores"):
         assert q[name](spark, "/root/testdata/sf0.001").count() == 500
     r = q["localize_least_squares"](spark, "/root/testdata/sf0.001").where("px is not null").agg(F.avg(F.col("residual_rms"))).first()[0]
     assert not math.isnan(r) and r < 0.5

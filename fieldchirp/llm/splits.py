@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from fieldchirp.functions.keys import clean_key
 from fieldchirp.operators.rangescan import running
 from fieldchirp.scratch import materialize
-from fieldchirp.session import shuffle_partitions
 
 UNIT = 10_000  # times are counted in tenths of a millisecond
-CHUNK = 64  # starts of a file that are probed together; a multiple of four
-PROBED = 250_000  # starts that a task probes with
+CHUNK = 60  # starts of a file that are probed together; a multiple of every size of a block
+PROBED = 2_000_000  # starts of chunks that a task probes with
+HELD = 2_000_000  # starts that a task probes
 REACH = 1200 * UNIT  # least width of the spans of time that a larger file is cut into
-SLICE = 1_000_000  # pairs of starts met at once
+SLICE = 1_000_000  # triples of starts met at once
+# Triples to probe a block by, by its size: whichever one of its starts fails, one of the triples is left.
+TRIPLES = {4: ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)), 5: ((0, 1, 2), (2, 3, 4), (0, 1, 3)), 6: ((0, 1, 2), (3, 4, 5))}
 
 
 def start_points(detections: DataFrame) -> DataFrame:
@@ -29,76 +31,214 @@ def start_points(detections: DataFrame) -> DataFrame:
     return detections.select(clean_key("file").alias("file"), F.when(~F.isnan(t), F.round(t * UNIT).cast("long")).alias("t")).where("file is not null and t is not null").distinct()
 
 
+def _spread(lo: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """lo[0], lo[0] + 1, ... (many[0] of them), lo[1], ..."""
+    return np.arange(many.sum()) + np.repeat(lo - (np.cumsum(many) - many), many)
+
+
+def _hash(bits: int, *values: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(values[0]), dtype=np.uint64)
+    for v in values:
+        h = (h ^ v.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _bits(n: int, most: int) -> int:
+    return int(np.clip(int(n).bit_length(), 10, most))
+
+
+class Waiting:
+    """Arrays gathered until there are enough to go on with."""
+
+    def __init__(self, go: Callable[..., None]) -> None:
+        self.go, self.parts, self.n = go, [], 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        if len(columns[0]):
+            self.parts.append(columns)
+            self.n += len(columns[0])
+            if self.n > SLICE:
+                self.end()
+
+    def end(self) -> None:
+        if self.parts:
+            columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
+            self.parts, self.n = [], 0
+            self.go(*columns)
+
+
+def _pairs(place: np.ndarray, core: np.ndarray, tol: int, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (x, y) of starts, x of the core, y - x from -2 tol to ``reach``, by the rank of y from x.
+
+    Two starts of a small file may meet one of the larger, or two in turned order, so gaps begin at -2 tol.
+    """
+    end = len(place)
+    back = int((np.arange(end) - np.searchsorted(place, place - 2 * tol, "left")).max())
+    xs, i = np.flatnonzero(core), -back
+    while len(xs):
+        at = xs[(xs + i >= 0) & (xs + i < end)]
+        gap = place[at + i] - place[at]
+        near = (gap >= -2 * tol) & (gap <= reach)
+        yield at[near], at[near] + i
+        if i > 0:  # later ranks lie farther
+            xs = at[near]
+        i += 1
+
+
+def _thirds(place: np.ndarray, tol: int, x: np.ndarray, y: np.ndarray, low: np.ndarray, top: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Starts z with z - y from low to top for pairs (x, y), as (number of the pair, z), by the rank of z from y."""
+    end = len(place)
+    j = -int((y - np.searchsorted(place, place[y] - 2 * tol, "left")).max())
+    k = np.arange(len(x))
+    while len(k):
+        inside = (y + j >= 0) & (y + j < end)
+        at, z = k[inside], y[inside] + j
+        gap = place[z] - place[y[inside]]
+        wanted = (gap >= low[inside]) & (gap <= top[inside])
+        yield at[wanted], z[wanted]
+        if j > 0:
+            go = gap <= top[inside]
+            k, y, low, top = at[go], y[inside][go], low[inside][go], top[inside][go]
+        j += 1
+
+
 def _meet(probes: pd.DataFrame, starts: pd.DataFrame, width: int, tol: int, share: float) -> pd.DataFrame:
-    """Shifts that bring three starts of a block of four upon starts of a larger file, one per (small, large, slot).
+    """Shifts that bring a block, but for one start at most, upon starts of a larger file, one per (small, large, slot).
 
-    Of any three of a, b, c, d two are the pair (a, b) or (c, d): pairs of
-    starts of the larger files are met by their gap, the third by search.  A
-    shift is dropped once more starts of the chunk fail than may fail in all.
+    Triples of starts of the larger files are looked up by both their gaps in
+    a table of the triples of all blocks.  A shift is dropped where two starts
+    of the block fail, or more of the chunk than may fail in all.
     """
     none = pd.DataFrame({"small": pd.Series(dtype=str), "large": pd.Series(dtype=str), "slot": pd.Series(dtype="int64"), "shift": pd.Series(dtype="int64")})
     if probes.empty or starts.empty:
         return none
-    unit, _ = pd.factorize(pd.MultiIndex.from_frame(starts[["file", "bucket"]]))
-    place = unit.astype(np.int64) * 4 * width + (starts["t"] - (starts["bucket"] - 1) * width).to_numpy()
-    order = np.argsort(place)
-    place, starts = place[order], starts.iloc[order]
-    t, core, n_large, large = starts["t"].to_numpy(), starts["core"].to_numpy(), starts["n"].to_numpy(), starts["file"].to_numpy()
+    cell = 4 * tol
+    held = starts["ts"].map(len).to_numpy()
+    unit = np.repeat(np.arange(len(held)), held)
+    t = np.concatenate(starts["ts"].to_list())
+    bucket = starts["bucket"].to_numpy()
+    place = unit.astype(np.int64) * 4 * width + (t - (bucket[unit] - 1) * width)
+    core = t // width == bucket[unit]
+    n_large, large = starts["n"].to_numpy(), starts["file"].to_numpy()
+
     size = probes["ts"].map(len).to_numpy()
     ts, at_row = np.concatenate(probes["ts"].to_list()), np.cumsum(size) - size
-    row = np.repeat(np.arange(len(size)), probes["use"].map(len).to_numpy())
-    block = at_row[row] + 4 * np.concatenate(probes["use"].to_list()).astype(np.int64)
-    q = {c: ts[block + i] for i, c in enumerate("abcd")}
-    gap = np.concatenate([q["b"] - q["a"], q["d"] - q["c"]])
-    base = np.concatenate([q["a"], q["c"]])
-    thirds = np.concatenate([q["c"], q["a"]]) - base, np.concatenate([q["d"], q["b"]]) - base
-    row = np.tile(row, 2)
-    n_small, small = probes["n"].to_numpy()[row], probes["file"].to_numpy()[row]
+    n_small, small = probes["n"].to_numpy(), probes["file"].to_numpy()
     spare = n_small - np.ceil(n_small * share - 1e-9).astype(np.int64)
+    of_block = np.minimum(6, n_small // (spare // 2 + 1))
+    used = probes["use"].map(len).to_numpy()
+    row = np.repeat(np.arange(len(size)), used)
+    block = at_row[row] + of_block[row] * np.concatenate(probes["use"].to_list()).astype(np.int64)
+    parts = [(np.flatnonzero(of_block[row] == s), abc) for s, family in TRIPLES.items() for abc in family]
+    row, block, base, g1, g2 = (np.concatenate(c) for c in zip(*((row[k], block[k], ts[block[k] + a], ts[block[k] + b] - ts[block[k] + a], ts[block[k] + c] - ts[block[k] + b]) for k, (a, b, c) in parts), strict=True))
+
+    # Two tables of the triples: by the two cells that each gap may lie in, and by those of the first gap alone.
+    ends = [((g1 + d) // cell, (g2 + e) // cell) for d in (-2 * tol, 2 * tol) for e in (-2 * tol, 2 * tol)]
+    bits = _bits(4 * len(g1), 24)
+    key = np.concatenate([_hash(bits, *c) for c in ends])
+    entry = np.argsort(key, kind="stable")
+    begin = np.append(0, np.cumsum(np.bincount(key, minlength=1 << bits)))
+    entry %= len(g1)
+    fine, known_bits = 2 * tol, _bits(64 * len(g1), 26)
+    known = np.zeros(1 << known_bits, dtype=bool)
+    for d in (-1, 0, 1):
+        for e in (-1, 0, 1):
+            known[_hash(known_bits, g1 // fine + d, g2 // fine + e)] = True
+    key = np.concatenate([(g1 + d) // cell + 1 for d in (-2 * tol, 2 * tol)])
+    by_one = np.argsort(key, kind="stable")
+    cells = g1.max() // cell + 3
+    begin_one = np.append(0, np.cumsum(np.bincount(key, minlength=cells)))
+    by_one %= len(g1)
+    most, least = np.full(cells, -1, dtype=np.int64), np.full(cells, np.iinfo(np.int64).max // 2)
+    np.maximum.at(most, key, np.tile(g2, 2))
+    np.minimum.at(least, key, np.tile(g2, 2))
+    # Starts a tick in each span, to tell which is less: the thirds of a pair or the triples of its gap.
+    at_unit = np.cumsum(held) - held
+    crowd = held / (place[at_unit + held - 1] - place[at_unit] + 1)
+
+    taken_bits = _bits(32 * len(place), 26)
+    taken = np.zeros(1 << taken_bits, dtype=bool)
+    for d in (0, -1):
+        taken[_hash(taken_bits, place // cell + d)] = True
 
     def near(due: np.ndarray) -> np.ndarray:
-        k = np.searchsorted(place, due - 2 * tol, "left")
-        return (k < len(place)) & (place[np.minimum(k, len(place) - 1)] <= due + 2 * tol)
-
-    # Two starts of the small file may meet one of the larger, or two in turned order, so gaps begin at -2 tol.
-    one = np.flatnonzero(core)
-    lo = np.searchsorted(place, place[one] - 2 * tol, "left")
-    many = np.searchsorted(place, place[one] + gap.max() + 2 * tol, "right") - lo
-    first = np.repeat(one, many)
-    second = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-    between = place[second] - place[first]
-    by_gap = np.argsort(between)
-    between, first = between[by_gap], first[by_gap]
-
-    lo = np.searchsorted(between, gap - 2 * tol, "left")
-    many = np.searchsorted(between, gap + 2 * tol, "right") - lo
-    upto = np.cumsum(many)
-    found, at = [], 0
-    while at < len(gap):
-        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE, "right")))
-        m = many[at:end]
-        mine = np.repeat(np.arange(at, end), m)
-        theirs = first[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[at:end], m)]
-        at = end
-        more = n_large[theirs] - n_small[mine]
+        ok = taken[_hash(taken_bits, (due - 2 * tol) // cell)]
+        sure = due[ok]
+        k = np.searchsorted(place, sure - 2 * tol, "left")
+        ok[ok] = (k < len(place)) & (place[np.minimum(k, len(place) - 1)] <= sure + 2 * tol)
+        return ok
+
+    def verified(x: np.ndarray, mine: np.ndarray) -> pd.DataFrame:
+        for lo, many, spared in ((block, of_block[row], 1), (at_row[row], size[row], spare[row])):
+            m = many[mine]
+            which = np.repeat(np.arange(len(mine)), m)
+            away = ts[_spread(lo[mine], m)] - base[mine[which]]
+            within = np.abs(away) <= width - 4 * tol  # beyond the margins nothing can be said here
+            which, away = which[within], away[within]
+            ok = np.bincount(which[~near(place[x[which]] + away)], minlength=len(mine)) <= (spared if np.isscalar(spared) else spared[mine])
+            x, mine = x[ok], mine[ok]
+        shift = t[x] - base[mine]
+        return pd.DataFrame({"small": row[mine], "large": unit[x], "slot": shift // cell, "shift": shift}).drop_duplicates(["small", "large", "slot"])
+
+    found = []
+
+    def larger(x: np.ndarray, mine: np.ndarray) -> None:
+        more = n_large[unit[x]] - n_small[row[mine]]
         keep = more > 0
         ties = np.flatnonzero(more == 0)
-        keep[ties] = small[mine[ties]] < large[theirs[ties]]
-        mine, theirs = mine[keep], theirs[keep]
-        ok = np.zeros(len(mine), dtype=bool)
-        for third in thirds:
-            ok |= near(place[theirs] + third[mine])
-        mine, theirs = mine[ok], theirs[ok]
-        m = size[row[mine]]
-        which = np.repeat(np.arange(len(mine)), m)
-        away = ts[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(at_row[row[mine]], m)] - base[mine[which]]
-        within = np.abs(away) <= width - 4 * tol  # beyond the margins nothing can be said here
-        which, away = which[within], away[within]
-        ok = np.bincount(which[~near(place[theirs[which]] + away)], minlength=len(mine)) <= spare[mine]
-        mine, theirs = mine[ok], theirs[ok]
-        shift = t[theirs] - base[mine]
-        found.append(pd.DataFrame({"small": small[mine], "large": large[theirs], "slot": shift // (4 * tol), "shift": shift}).drop_duplicates(["small", "large", "slot"]))
-    return pd.concat(found).drop_duplicates(["small", "large", "slot"]) if found else none
+        keep[ties] = small[row[mine[ties]]] < large[unit[x[ties]]]
+        if keep.any():
+            found.append(verified(x[keep], mine[keep]))
+
+    def slices(many: np.ndarray) -> Iterator[slice]:
+        upto, at = np.cumsum(many), 0
+        while at < len(many):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE, "right")))
+            yield slice(at, end)
+            at = end
+
+    def look_up(x: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        h = _hash(bits, one // cell, two // cell)
+        many = begin[h + 1] - begin[h]
+        for s in slices(many):
+            theirs = np.repeat(np.arange(s.start, s.stop), many[s])
+            mine = entry[_spread(begin[h[s]], many[s])]
+            ok = (np.abs(g1[mine] - one[theirs]) <= 2 * tol) & (np.abs(g2[mine] - two[theirs]) <= 2 * tol)
+            larger(x[theirs[ok]], mine[ok])
+
+    def look_out(x: np.ndarray, one: np.ndarray, c: np.ndarray) -> None:
+        many = begin_one[c + 1] - begin_one[c]
+        for s in slices(many):
+            theirs = np.repeat(np.arange(s.start, s.stop), many[s])
+            mine = by_one[_spread(begin_one[c[s]], many[s])]
+            ok = np.abs(g1[mine] - one[theirs]) <= 2 * tol
+            mine, theirs = mine[ok], x[theirs[ok]]
+            ok = near(place[theirs] + g1[mine] + g2[mine])
+            larger(theirs[ok], mine[ok])
+
+    few, many = Waiting(look_out), Waiting(look_up)
+    for x, y in _pairs(place, core, tol, (cells - 2) * cell - 1):
+        one = place[y] - place[x]
+        c = one // cell + 1
+        held_by = begin_one[c + 1] - begin_one[c]
+        thirds = (most[c] - least[c] + 4 * tol) * crowd[unit[x]] + 1
+        out = (held_by > 0) & (held_by <= thirds / 3)
+        few.add(x[out], one[out], c[out])
+        up = np.flatnonzero((held_by > 0) & ~out)
+        if len(up):
+            x, y, one, c = x[up], y[up], one[up], c[up]
+            for k, z in _thirds(place, tol, x, y, least[c] - 2 * tol, most[c] + 2 * tol):
+                two = place[z] - place[y[k]]
+                ok = known[_hash(known_bits, one[k] // fine, two // fine)]
+                many.add(x[k[ok]], one[k[ok]], two[ok])
+    few.end()
+    many.end()
+    if not found:
+        return none
+    out = pd.concat(found)
+    out["small"], out["large"] = small[out["small"]], large[out["large"]]
+    return out.drop_duplicates(["small", "large", "slot"])
 
 
 @dataclass
@@ -118,22 +258,26 @@ def _growing(df: DataFrame) -> DataFrame:
 
 
 def _probes(placed: DataFrame, spare_of: Callable[[Column], Column], cell: int, partitions: int | None) -> DataFrame:
-    """Chunks of starts with the blocks of four to probe by: (file, n, chunk, ts, use).
+    """Chunks of starts with the blocks to probe by: (file, n, chunk, ts, use, width).
 
-    Of a file with k starts that may fail, the k // 2 + 1 blocks whose gaps the
-    fewest blocks of the corpus share: gaps that every file has, as on a
-    regular grid, are left out where a file has others.
+    Of a file with k starts that may fail, k // 2 + 1 blocks of as many starts
+    as fit, six at most; where there are more, those whose gaps the fewest
+    blocks of the corpus share: gaps that every file has, as on a regular
+    grid, are left out where a file has others.
     """
+    need = F.floor(spare_of(F.col("n")) / 2) + 1
+    size = F.least(F.lit(max(TRIPLES)), F.floor(F.col("n") / need)).cast("int")
     chunk = F.floor((F.col("pos") - 1) / CHUNK).alias("chunk")
-    chunks = materialize(placed.groupBy("file", "n", chunk).agg(F.array_sort(F.collect_list("t")).alias("ts")).where(F.size("ts") >= 4), "chunks")
-    t = lambda i: F.col("ts")[4 * F.col("i") + i]
-    blocks = chunks.withColumn("i", F.explode(F.sequence(F.lit(0), (F.floor(F.size("ts") / 4) - 1).cast("int"))))
-    blocks = blocks.select("file", "n", "chunk", "i", (t(3) - t(0)).alias("width"), F.explode(F.array((t(1) - t(0)), (t(3) - t(2)))).alias("gap")).withColumn("cell", F.floor(F.col("gap") / cell)).drop("gap")
+    chunks = materialize(placed.groupBy("file", "n", chunk).agg(F.array_sort(F.collect_list("t")).alias("ts")).withColumn("s", size).where(F.size("ts") >= F.col("s")), "chunks")
+    t = lambda i: F.col("ts")[(F.col("s") * F.col("i") + i).cast("int")]
+    last = F.col("s") - 1
+    blocks = chunks.withColumn("i", F.explode(F.sequence(F.lit(0), (F.floor(F.size("ts") / F.col("s")) - 1).cast("int"))))
+    blocks = blocks.select("file", "n", "chunk", "i", (t(last) - t(0)).alias("width"), F.explode(F.array((t(1) - t(0)), (t(last) - t(last - 1)))).alias("gap")).withColumn("cell", F.floor(F.col("gap") / cell)).drop("gap")
     often = blocks.groupBy("cell").agg(F.count("*").alias("often"))
     cost = blocks.join(_growing(often), "cell").groupBy("file", "n", "chunk", "i", "width").agg(F.sum("often").alias("cost")).withColumn("one", F.lit(1).cast("long"))
     ranked = running(cost, ["file"], ["cost", "width", "chunk", "i"], {"rank": "one"}, partitions=partitions, name="blocks")
-    use = ranked.where(F.col("rank") <= F.floor(spare_of(F.col("n")) / 2) + 1).groupBy("file", "chunk").agg(F.array_sort(F.collect_list("i")).alias("use"), F.max("width").alias("width"))
-    return chunks.join(_growing(use), ["file", "chunk"])
+    use = ranked.where(F.col("rank") <= need).groupBy("file", "chunk").agg(F.array_sort(F.collect_list("i")).alias("use"), F.max("width").alias("width"))
+    return chunks.drop("s").join(_growing(use), ["file", "chunk"])
 
 
 def find_recordings(detections: DataFrame, min_starts: int = 11, share: float = 0.7, tolerance: float = 0.01, partitions: int | None = None) -> Recordings:
@@ -146,17 +290,19 @@ def find_recordings(detections: DataFrame, min_starts: int = 11, share: float =
     searched once.
 
     No pair is missed, whatever else the larger file holds.  The starts of a
-    file are cut into blocks of four.  With k starts that needn't recur,
-    k // 2 + 1 blocks can't all lack two or more, so one of any so many has
-    three that recur: the rarest are probed, by three starts each, against all
-    pairs of starts at the same gap in files with as many starts or more.  The
-    shifts so found are verified over all starts, in integers.
+    file are cut into blocks of four, five or six.  With k starts that needn't
+    recur, k // 2 + 1 blocks can't all lack two or more, so one of any so many
+    lacks one at most: the rarest are probed, by triples of their starts of
+    which one is left whichever start fails, against the triples of starts at
+    the same two gaps in files with as many starts or more.  The shifts so
+    found are verified over all starts, in integers.
     ``ValueError`` where ``share`` and ``min_starts`` leave too few blocks.
 
     A larger file is cut into spans of time as wide as the widest probe, with
-    margins; no file is collected.  The work grows with the number of pairs of
-    files that could be meant, that is, with the square of the rows.  Null and
-    NaN keys or times take no part; repeated rows count once; an empty table
+    margins; no file is collected.  The work grows with the triples of starts
+    near each other and with the number of those at the same two gaps, which
+    is small unless starts are dense or regular.  Null and NaN keys or times
+    take no part; repeated rows count once; an empty table
     gives no pairs.
     """
     count_spare = lambda n: n - math.ceil(n * share - 1e-9)
@@ -165,7 +311,6 @@ def find_recordings(detections: DataFrame, min_starts: int = 11, share: float =
     spare_of = lambda n: n - F.ceil(n * share - 1e-9)
     tol = round(tolerance * UNIT)
     spark = detections.sparkSession
-    parts = partitions or shuffle_partitions(spark)
     placed = running(start_points(detections).withColumn("one", F.lit(1).cast("long")), ["file"], ["t"], {"pos": "one"}, partitions=partitions, name="starts").drop("one")
     counts = placed.groupBy("file").agg(F.max("pos").alias("n"), F.min("t").alias("first")).where(F.col("n") >= min_starts)
     placed = materialize(placed.join(_growing(counts), "file"), "starts")
@@ -183,14 +328,21 @@ def find_recordings(detections: DataFrame, min_starts: int = 11, share: float =
 
     # A file longer than all others has none to be found in.
     probes = materialize(_probes(placed.where(F.col("n") <= most[1]), spare_of, 4 * tol, partitions), "probes")
-    n_probed, widest = probes.agg(F.sum(F.size("use")) * 4, F.max("width")).first()
+    n_probed, widest = probes.agg(F.sum(F.size("ts")), F.max("width")).first()
     width = max(widest + 4 * tol, REACH)
-    p, q = 1 + n_probed // PROBED, 2 * parts
     bucket = F.floor(F.col("t") / width)
-    starts = placed.select("file", "n", "t", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"), bucket.alias("own"))
-    starts = starts.select("file", "n", "t", "bucket", (F.col("own") == F.col("bucket")).alias("core"), F.pmod(F.xxhash64("file", "bucket"), F.lit(q)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("p"))
+    spans = placed.select("file", "n", "t", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"), bucket.alias("own"))
+    # A span holds its margins too; one with nothing but margins is none.
+    spans = spans.groupBy("file", "n", "bucket").agg(F.array_sort(F.collect_list("t")).alias("ts"), F.max(F.col("own") == F.col("bucket")).alias("core")).where("core").drop("core")
+    spans = materialize(spans, "spans")
+    n_held = spans.agg(F.sum(F.size("ts"))).first()[0]
+    # Every p meets every q: as few of both as leave tasks of bounded size, and enough tasks to keep all cores at work.
+    p = 1 + n_probed // PROBED
+    q = max(1 + n_held // HELD, -(-2 * spark.sparkContext.defaultParallelism // p))
+    starts = spans.withColumns({"q": F.pmod(F.xxhash64("file", "bucket"), F.lit(q)).cast("int"), "p": F.explode(F.sequence(F.lit(0), F.lit(p - 1)))})
     sent = probes.select("file", "n", "ts", "use", F.pmod(F.xxhash64("file", "chunk"), F.lit(p)).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("q"))
-    met = sent.groupBy("p", "q").cogroup(starts.groupBy("p", "q")).applyInPandas(lambda a, b: _meet(a, b, width, tol, share), "small string, large string, slot long, shift long")
+    apart = lambda df: df.repartition(2 * p * q, "p", "q").groupBy("p", "q")
+    met = apart(sent).cogroup(apart(starts)).applyInPandas(lambda a, b: _meet(a, b, width, tol, share), "small string, large string, slot long, shift long")
     # One candidate per pair and shift, to four tolerances.
     cand = materialize(met.groupBy("small", "large", "slot").agg(F.min("shift").alias("shift")), "shifts")
 

@@ -3,9 +3,11 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from fieldchirp.llm import queries
+from fieldchirp.llm import queries, splits
 from fieldchirp.llm.splits import connected, find_recordings, same_recording_pairs, split_rows
 from fieldchirp.llm.topn import best_windows, top_n
 
@@ -158,3 +160,23 @@ def test_contraction(spark):
 def test_queries_are_listed():
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert {"p1_found", "p6_found", "p8_found", "p9_mix", "p10_found"} <= set(queries.QUERIES)
+
+
+def test_meets_of_many_files_that_share_nothing(monkeypatch):
+    rng = np.random.default_rng(13)
+    met, repeat = [0], np.repeat
+
+    def counted(*a):
+        out = repeat(*a)
+        met[0] += len(out)
+        return out
+
+    files = {f"f{i:04}": np.sort(rng.choice(6_000_000, 20, replace=False)) for i in range(4000)}
+    files["f9999"] = np.sort(np.append(rng.permutation(files["f0007"])[:14] + 4321, rng.choice(6_000_000, 60, replace=False)))
+    width = 1200 * splits.UNIT
+    starts = pd.DataFrame([(f, len(t), 0, t) for f, t in files.items()], columns=["file", "n", "bucket", "ts"])
+    probes = pd.DataFrame([(f, len(t), t, [0, 1, 2, 3]) for f, t in files.items() if len(t) == 20], columns=["file", "n", "ts", "use"])
+    monkeypatch.setattr(splits.np, "repeat", counted)
+    got = splits._meet(probes, starts, width, 100, 0.7)
+    assert ("f0007", "f9999") in set(zip(got["small"], got["large"], strict=True)) and len(got) < 20
+    assert met[0] < 100 * 80_000  # pairs at one common gap would be many times that

@@ -37,11 +37,10 @@ def _spread(lo: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def _hash(bits: int, *values: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(values[0]), dtype=np.uint64)
-    for v in values:
-        h = (h ^ v.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)).astype(np.int64)
+    h = np.uint64(0)
+    for v, odd in zip(values, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), strict=False):
+        h = h + v.astype(np.uint64) * np.uint64(odd)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _bits(n: int, most: int) -> int:
@@ -86,23 +85,6 @@ def _pairs(place: np.ndarray, core: np.ndarray, tol: int, reach: int) -> Iterato
         i += 1
 
 
-def _thirds(place: np.ndarray, tol: int, x: np.ndarray, y: np.ndarray, low: np.ndarray, top: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Starts z with z - y from low to top for pairs (x, y), as (number of the pair, z), by the rank of z from y."""
-    end = len(place)
-    j = -int((y - np.searchsorted(place, place[y] - 2 * tol, "left")).max())
-    k = np.arange(len(x))
-    while len(k):
-        inside = (y + j >= 0) & (y + j < end)
-        at, z = k[inside], y[inside] + j
-        gap = place[z] - place[y[inside]]
-        wanted = (gap >= low[inside]) & (gap <= top[inside])
-        yield at[wanted], z[wanted]
-        if j > 0:
-            go = gap <= top[inside]
-            k, y, low, top = at[go], y[inside][go], low[inside][go], top[inside][go]
-        j += 1
-
-
 def _meet(probes: pd.DataFrame, starts: pd.DataFrame, width: int, tol: int, share: float) -> pd.DataFrame:
     """Shifts that bring a block, but for one start at most, upon starts of a larger file, one per (small, large, slot).
 
@@ -217,7 +199,17 @@ def _meet(probes: pd.DataFrame, starts: pd.DataFrame, width: int, tol: int, shar
             ok = near(place[theirs] + g1[mine] + g2[mine])
             larger(theirs[ok], mine[ok])
 
-    few, many = Waiting(look_out), Waiting(look_up)
+    def look_on(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> None:
+        lo = np.searchsorted(place, place[y] + least[c] - 2 * tol, "left")
+        many = np.searchsorted(place, place[y] + most[c] + 2 * tol, "right") - lo
+        one = place[y] - place[x]
+        for s in slices(many):
+            k = np.repeat(np.arange(s.start, s.stop), many[s])
+            two = place[_spread(lo[s], many[s])] - place[y[k]]
+            ok = known[_hash(known_bits, (one // fine)[k], two // fine)]
+            triples.add(x[k[ok]], one[k[ok]], two[ok])
+
+    few, crowded, triples = Waiting(look_out), Waiting(look_on), Waiting(look_up)
     for x, y in _pairs(place, core, tol, (cells - 2) * cell - 1):
         one = place[y] - place[x]
         c = one // cell + 1
@@ -225,15 +217,10 @@ def _meet(probes: pd.DataFrame, starts: pd.DataFrame, width: int, tol: int, shar
         thirds = (most[c] - least[c] + 4 * tol) * crowd[unit[x]] + 1
         out = (held_by > 0) & (held_by <= thirds / 3)
         few.add(x[out], one[out], c[out])
-        up = np.flatnonzero((held_by > 0) & ~out)
-        if len(up):
-            x, y, one, c = x[up], y[up], one[up], c[up]
-            for k, z in _thirds(place, tol, x, y, least[c] - 2 * tol, most[c] + 2 * tol):
-                two = place[z] - place[y[k]]
-                ok = known[_hash(known_bits, one[k] // fine, two // fine)]
-                many.add(x[k[ok]], one[k[ok]], two[ok])
-    few.end()
-    many.end()
+        up = (held_by > 0) & ~out
+        crowded.add(x[up], y[up], c[up])
+    for waiting in (few, crowded, triples):
+        waiting.end()
     if not found:
         return none
     out = pd.concat(found)

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldchirp.functions.keys import clean_key, nan_to_null
-from fieldchirp.operators.clips import clip_grid
+from fieldchirp.operators.clips import FINAL, clip_grid, clip_step_of, step_counts, timed_clips
 
 STANDARD = ("audio_file", "annotation_file", "annotation", "start_time", "end_time", "low_f", "high_f")
+MATCH = ("file", "start_time", "end_time", "annotation", "ann_start", "ann_end", "overlap")
 
 
 def annotation_table(df: DataFrame) -> DataFrame:
@@ -100,22 +101,58 @@ def clip_matches(clips: DataFrame, ann: DataFrame, min_overlap: float, min_fract
     what is near in time.  A match is reported in the first bucket that the
     two share.  Columns: file, start_time, end_time, annotation, ann_start,
     ann_end, overlap.  Null labels, files and times and annotations without
-    length match nothing.
+    length match nothing.  Neither side is broadcast: their sizes as Spark
+    estimates them don't count what ``explode`` adds.
     """
     b = lambda c: F.floor(c / F.lit(bucket_s)).cast("long")
     left = clips.select("file", "start_time", "end_time").where("file is not null and end_time > start_time")
     left = left.withColumn("b0", b(F.col("start_time"))).withColumn("bucket", F.explode(F.sequence("b0", b(F.col("end_time")))))
-    right = ann.where("audio_file is not null and annotation is not null and end_time > start_time").select(
+    right = _spans(ann)
+    right = right.withColumn("a0", b(F.col("ann_start"))).withColumn("bucket", F.explode(F.sequence("a0", b(F.col("ann_end")))))
+    met = left.join(right.hint("merge"), ["file", "bucket"]).where(F.col("bucket") == F.greatest("b0", "a0"))
+    return _enough(met, min_overlap, min_fraction).select(*MATCH)
+
+
+def _spans(ann: DataFrame) -> DataFrame:
+    """The annotations that can match a clip: file, annotation, ann_start, ann_end."""
+    return ann.where("audio_file is not null and annotation is not null and end_time > start_time").select(
         F.col("audio_file").alias("file"), "annotation", F.col("start_time").alias("ann_start"), F.col("end_time").alias("ann_end")
     )
-    right = right.withColumn("a0", b(F.col("ann_start"))).withColumn("bucket", F.explode(F.sequence("a0", b(F.col("ann_end")))))
+
+
+def _enough(met: DataFrame, min_overlap: float, min_fraction: float | None) -> DataFrame:
+    """The pairs of clip and annotation that overlap enough, with ``overlap``."""
     share = overlap(F.col("start_time"), F.col("end_time"), F.col("ann_start"), F.col("ann_end"))
     enough = F.col("overlap") >= min_overlap
     if min_fraction is not None:
         enough = enough | (F.col("overlap") / (F.col("ann_end") - F.col("ann_start")) >= min_fraction)
-    met = left.join(right, ["file", "bucket"]).where((F.col("start_time") < F.col("ann_end")) & (F.col("end_time") > F.col("ann_start")))
-    met = met.where(F.col("bucket") == F.greatest("b0", "a0")).withColumn("overlap", share)
-    return met.where((F.col("overlap") > 0) & enough).select("file", "start_time", "end_time", "annotation", "ann_start", "ann_end", "overlap")
+    met = met.where((F.col("start_time") < F.col("ann_end")) & (F.col("end_time") > F.col("ann_start"))).withColumn("overlap", share)
+    return met.where((F.col("overlap") > 0) & enough)
+
+
+def _grid_hits(files: DataFrame, ann: DataFrame, clip_duration: float, min_overlap: float, min_fraction: float | None, step: float, final_clip: str | None, digits: int) -> DataFrame:
+    """Matches of annotations with the clips of a grid: MATCH, the file's duration and the clip's number ``__i``."""
+    met = step_counts(files.select("file", "duration"), step).where("file is not null").join(_spans(ann).hint("merge"), "file")
+    slack = 0.01 + 10.0**-digits / step  # more than rounding moves a clip, in steps; what it lets in is compared exactly
+    number = lambda c: F.floor(F.greatest(F.lit(0.0), F.least(c, F.col("__n") - 1.0))).cast("long")
+    first, last = number((F.col("ann_start") - clip_duration) / F.lit(step) - slack), number(F.col("ann_end") / F.lit(step) + slack)
+    met = met.withColumn("__i", F.explode(F.sequence(first, last))).drop("__n")
+    return _enough(timed_clips(met, clip_duration, step, final_clip, digits), min_overlap, min_fraction)
+
+
+def grid_matches(files: DataFrame, ann: DataFrame, clip_duration: float, min_overlap: float, min_fraction: float | None = None, final_clip: str | None = "extend", digits: int = 10, **steps) -> DataFrame:
+    """``clip_matches`` with the clips of ``clip_grid`` over the files (file, duration).
+
+    An annotation meets its file and numbers the clips that it reaches, so the
+    work follows the annotations and the grid is never laid out (but for
+    ``final_clip`` ``full``, whose last clips have no number).
+    """
+    if final_clip not in FINAL:
+        raise ValueError(f"final_clip must be one of {FINAL}")
+    if final_clip == "full":
+        return clip_matches(clip_grid(files.select("file", "duration"), clip_duration, final_clip=final_clip, digits=digits, **steps), ann, min_overlap, min_fraction)
+    step = clip_step_of(clip_duration, **steps)
+    return _grid_hits(files, ann, clip_duration, min_overlap, min_fraction, step, final_clip, digits).select(*MATCH)
 
 
 def labels_on_clips(clips: DataFrame, ann: DataFrame, classes: list[str], min_overlap: float, min_fraction: float | None = None) -> DataFrame:

@@ -37,23 +37,34 @@ def clip_grid(
     if final_clip not in FINAL:
         raise ValueError(f"final_clip must be one of {FINAL}")
     step = clip_step_of(clip_duration, clip_overlap, overlap_fraction, clip_step)
-    n = F.ceil(F.col("duration") / F.lit(step))
-    grid = files.where(F.col("duration").isNotNull() & ~F.isnan("duration") & (F.col("duration") > 0))
-    grid = grid.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    start = F.round(F.col("__i") * F.lit(step), digits)
-    grid = grid.withColumns({"start_time": start, "end_time": F.round(start + F.lit(clip_duration), digits)}).where("start_time < duration")
-    over = F.col("end_time") > F.col("duration")
+    grid = step_counts(files, step)
+    grid = grid.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).drop("__n")
+    if final_clip != "full":
+        return timed_clips(grid, clip_duration, step, final_clip, digits).drop("__i", "duration")
+    grid = timed_clips(grid, clip_duration, step, "extend", digits)
+    back = F.greatest(F.round(F.col("duration") - F.lit(clip_duration), digits), F.lit(0.0))
+    moved = F.when(F.col("end_time") > F.col("duration"), back).otherwise(F.col("start_time"))
+    grid = grid.withColumn("start_time", moved).withColumn("end_time", F.round(F.col("start_time") + F.lit(clip_duration), digits))
+    # Only the clips moved back can equal another one.
+    return grid.drop("__i", "duration").dropDuplicates(["file", "start_time", "end_time"])
+
+
+def step_counts(files: DataFrame, step: float) -> DataFrame:
+    """The files with a duration and ``__n``, the number of steps that begin in it."""
+    known = files.where(F.col("duration").isNotNull() & ~F.isnan("duration") & (F.col("duration") > 0))
+    return known.withColumn("__n", F.ceil(F.col("duration") / F.lit(step)))
+
+
+def timed_clips(grid: DataFrame, clip_duration: float, step: float, final_clip: str | None, digits: int = 10) -> DataFrame:
+    """Times of the clips numbered ``__i``, without those that ``final_clip`` (not ``full``) leaves out."""
+    # Whole numbers are their own rounding, which is the dearest part of a grid.
+    whole = digits >= 0 and float(step).is_integer() and float(clip_duration).is_integer()
+    near = (lambda c: c) if whole else (lambda c: F.round(c, digits))
+    start = near(F.col("__i") * F.lit(step))
+    grid = grid.withColumns({"start_time": start, "end_time": near(start + F.lit(clip_duration))}).where("start_time < duration")
     if final_clip is None:
-        grid = grid.where(~over)
-    elif final_clip == "remainder":
-        grid = grid.withColumn("end_time", F.least("end_time", "duration"))
-    elif final_clip == "full":
-        back = F.greatest(F.round(F.col("duration") - F.lit(clip_duration), digits), F.lit(0.0))
-        moved = F.when(over, back).otherwise(F.col("start_time"))
-        grid = grid.withColumn("start_time", moved).withColumn("end_time", F.round(F.col("start_time") + F.lit(clip_duration), digits))
-        # Only the clips moved back can equal another one.
-        return grid.drop("__i", "duration").dropDuplicates(["file", "start_time", "end_time"])
-    return grid.drop("__i", "duration")
+        return grid.where(~(F.col("end_time") > F.col("duration")))
+    return grid.withColumn("end_time", F.least("end_time", "duration")) if final_clip == "remainder" else grid
 
 
 def first_per_file(files: DataFrame, order: str) -> DataFrame:

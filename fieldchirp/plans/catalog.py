@@ -107,7 +107,7 @@ def _grid(s, d):
 
 @query(f"with {ANN}, {FILES}, {_grid_sql(5.0, 5.0, 'extend')} select c.file, c.start_time, c.end_time, a.annotation, a.start_time ann_start, a.end_time ann_end, {_OV} overlap from {_HIT} where {_OV} >= 0.2")
 def interval_join_overlap(s, d):
-    return ann.clip_matches(_grid(s, d), annotations(s, d), 0.2)
+    return ann.grid_matches(files(s, d), annotations(s, d), 5.0, 0.2)
 
 
 def _multihot(where: str) -> str:

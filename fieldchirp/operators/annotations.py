@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from fieldchirp.functions.keys import clean_key, nan_to_null
 from fieldchirp.operators.clips import FINAL, clip_grid, clip_step_of, step_counts, timed_clips
+from fieldchirp.session import shuffle_partitions
 
 STANDARD = ("audio_file", "annotation_file", "annotation", "start_time", "end_time", "low_f", "high_f")
 MATCH = ("file", "start_time", "end_time", "annotation", "ann_start", "ann_end", "overlap")
+BLOCK = 64  # clips of a grid that are shuffled as one row
 
 
 def annotation_table(df: DataFrame) -> DataFrame:
@@ -160,7 +162,7 @@ def labels_on_clips(clips: DataFrame, ann: DataFrame, classes: list[str], min_ov
     met = clip_matches(clips, subset(ann, list(classes)), min_overlap, min_fraction)
     key = ["file", "start_time", "end_time"]
     hot = met.groupBy(*key).agg(*[F.bool_or(F.col("annotation") == c).alias(c) for c in classes])
-    return clips.join(hot, key, "left").select(*key, *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in classes])
+    return clips.join(hot.hint("merge"), key, "left").select(*key, *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in classes])
 
 
 def label_lists_on_clips(clips: DataFrame, ann: DataFrame, classes: list[str], min_overlap: float, min_fraction: float | None = None, integers: bool = False, keep_duplicates: bool = False) -> DataFrame:
@@ -170,13 +172,50 @@ def label_lists_on_clips(clips: DataFrame, ann: DataFrame, classes: list[str], m
     key = ["file", "start_time", "end_time"]
     gather = F.collect_list if keep_duplicates else F.collect_set
     lists = met.groupBy(*key).agg(F.array_sort(gather("i")).alias("labels"))
-    done = clips.select(*key).join(lists, key, "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<int>")))
+    done = clips.select(*key).join(lists.hint("merge"), key, "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<int>")))
     if integers:
         return done
     names = F.array(*[F.lit(c) for c in classes])
     return done.withColumn("labels", F.transform("labels", lambda i: F.element_at(names, i + 1)))
 
 
+def _grid_labels(files: DataFrame, ann: DataFrame, classes: list[str], clip_duration: float, min_overlap: float, min_fraction: float | None, gather, as_labels, step: float, final_clip: str | None, digits: int) -> DataFrame:
+    """Every clip of a grid with ``labels``: ``as_labels`` of the sorted class indices that ``gather`` collects, null where nothing matched.
+
+    BLOCK clips in a row travel as one row that holds a map from clip number
+    to labels, and become clips after the join, so the grid is never shuffled.
+    """
+    files = files.select("file", "duration")
+    block = ["file", "__d", "__b"]
+    exact = F.col("duration").cast("string").alias("__d")  # doubles are normalised before they are grouped or joined, which would shuffle again
+    parts = shuffle_partitions(files.sparkSession)  # given, as a block's bytes don't show how many clips it becomes
+    index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("annotation")).cast("int") - 1
+    met = _grid_hits(files.distinct(), subset(ann, list(classes)), clip_duration, min_overlap, min_fraction, step, final_clip, digits)
+    met = met.select("file", exact, "__i", index.alias("c"), F.floor(F.col("__i") / BLOCK).alias("__b")).repartition(parts, *block)
+    hot = met.groupBy(*block, "__i").agg(as_labels(F.array_sort(gather("c"))).alias("labels"))
+    hot = hot.groupBy(*block).agg(F.map_from_entries(F.collect_list(F.struct("__i", "labels"))).alias("__hot"))
+    every = step_counts(files, step).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / BLOCK))))
+    every = every.select("*", exact).repartition(parts, *block).join(hot.hint("merge"), block, "left")
+    first = F.col("__b") * BLOCK
+    every = every.withColumn("__i", F.explode(F.sequence(first, F.least(first + BLOCK, F.col("__n")) - 1)))
+    return timed_clips(every, clip_duration, step, final_clip, digits).select("file", "start_time", "end_time", F.try_element_at("__hot", F.col("__i")).alias("labels"))
+
+
+def clip_label_lists(
+    files: DataFrame, ann: DataFrame, classes: list[str], clip_duration: float, min_overlap: float, min_fraction: float | None = None, integers: bool = False, keep_duplicates: bool = False, final_clip: str | None = "extend", digits: int = 10, **steps
+) -> DataFrame:
+    """``label_lists_on_clips`` for the clips of ``clip_grid`` over the files (file, duration)."""
+    if final_clip not in FINAL:
+        raise ValueError(f"final_clip must be one of {FINAL}")
+    if final_clip == "full":
+        return label_lists_on_clips(clip_grid(files.select("file", "duration"), clip_duration, final_clip=final_clip, digits=digits, **steps), ann, classes, min_overlap, min_fraction, integers, keep_duplicates)
+    names = F.array(*[F.lit(c) for c in classes])
+    as_labels = (lambda found: found) if integers else (lambda found: F.transform(found, lambda i: F.element_at(names, i + 1)))
+    gather = F.collect_list if keep_duplicates else F.collect_set
+    done = _grid_labels(files, ann, classes, clip_duration, min_overlap, min_fraction, gather, as_labels, clip_step_of(clip_duration, **steps), final_clip, digits)
+    return done.withColumn("labels", F.coalesce("labels", F.array().cast("array<int>" if integers else "array<string>")))
+
+
 def clip_labels(files: DataFrame, ann: DataFrame, classes: list[str], clip_duration: float, min_overlap: float, min_fraction: float | None = None, **grid) -> DataFrame:
     """Grid over the files, then multi-hot labels."""
     return labels_on_clips(clip_grid(files.select("file", "duration"), clip_duration, **grid), ann, classes, min_overlap, min_fraction)

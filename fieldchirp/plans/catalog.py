@@ -135,7 +135,7 @@ def labels_integer_lists(s, d):
 
 @query(f"with {ANN}, {FILES}, {_grid_sql(5.0, 5.0, 'extend')}, h as (select c.file, c.start_time, {_IDX} i, a.annotation from {_HIT} where {_OV} >= 0.2 and a.annotation in ({_IN})), l as (select file, start_time, string_agg(annotation, ',' order by i) labels from h group by 1, 2) select c.file, c.start_time, c.end_time, coalesce(l.labels, '') labels from clips c left join l on c.file = l.file and c.start_time = l.start_time")
 def labels_keep_duplicates(s, d):
-    out = ann.label_lists_on_clips(_grid(s, d), annotations(s, d), CLASSES, 0.2, keep_duplicates=True)
+    out = ann.clip_label_lists(files(s, d), annotations(s, d), CLASSES, 5.0, 0.2, keep_duplicates=True)
     return out.withColumn("labels", F.array_join("labels", ","))
 
 

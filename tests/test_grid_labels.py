@@ -39,3 +39,17 @@ def test_interval_join_broadcasts_nothing(spark):
     files, boxes = tables(spark)
     assert "Broadcast" not in plan_after_run(ann.clip_matches(clips.clip_grid(files, 5.0), boxes, 0.2))
     assert "Broadcast" not in plan_after_run(entry.queries()["interval_join_overlap"](spark, SMALL))
+
+
+@pytest.mark.parametrize("clip, grid", GRIDS)
+def test_label_lists_of_a_grid_are_those_of_its_clips(spark, clip, grid):
+    files, boxes = tables(spark)
+    for kw in ({"integers": True}, {"keep_duplicates": True, "min_fraction": 0.5}):
+        want = rows(ann.label_lists_on_clips(clips.clip_grid(files, clip, **grid), boxes, ["y", "x"], 0.05, **kw))
+        assert rows(ann.clip_label_lists(files, boxes, ["y", "x"], clip, 0.05, **kw, **grid)) == want
+
+
+def test_label_lists_broadcast_nothing(spark):
+    files, boxes = tables(spark)
+    assert "Broadcast" not in plan_after_run(ann.label_lists_on_clips(clips.clip_grid(files, 5.0), boxes, ["x"], 0.2))
+    assert "Broadcast" not in plan_after_run(entry.queries()["labels_keep_duplicates"](spark, SMALL))

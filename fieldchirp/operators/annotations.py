@@ -216,9 +216,14 @@ def clip_label_lists(
     return done.withColumn("labels", F.coalesce("labels", F.array().cast("array<int>" if integers else "array<string>")))
 
 
-def clip_labels(files: DataFrame, ann: DataFrame, classes: list[str], clip_duration: float, min_overlap: float, min_fraction: float | None = None, **grid) -> DataFrame:
-    """Grid over the files, then multi-hot labels."""
-    return labels_on_clips(clip_grid(files.select("file", "duration"), clip_duration, **grid), ann, classes, min_overlap, min_fraction)
+def clip_labels(files: DataFrame, ann: DataFrame, classes: list[str], clip_duration: float, min_overlap: float, min_fraction: float | None = None, final_clip: str | None = "extend", digits: int = 10, **steps) -> DataFrame:
+    """``labels_on_clips`` for the clips of ``clip_grid`` over the files (file, duration)."""
+    if final_clip not in FINAL:
+        raise ValueError(f"final_clip must be one of {FINAL}")
+    if final_clip == "full":
+        return labels_on_clips(clip_grid(files.select("file", "duration"), clip_duration, final_clip=final_clip, digits=digits, **steps), ann, classes, min_overlap, min_fraction)
+    done = _grid_labels(files, ann, classes, clip_duration, min_overlap, min_fraction, F.collect_set, lambda found: found, clip_step_of(clip_duration, **steps), final_clip, digits)
+    return done.select("file", "start_time", "end_time", *[F.coalesce(F.array_contains("labels", i), F.lit(False)).alias(c) for i, c in enumerate(classes)])
 
 
 def files_without_annotations(files: DataFrame, ann: DataFrame) -> DataFrame:

@@ -53,3 +53,17 @@ def test_label_lists_broadcast_nothing(spark):
     files, boxes = tables(spark)
     assert "Broadcast" not in plan_after_run(ann.label_lists_on_clips(clips.clip_grid(files, 5.0), boxes, ["x"], 0.2))
     assert "Broadcast" not in plan_after_run(entry.queries()["labels_keep_duplicates"](spark, SMALL))
+
+
+@pytest.mark.parametrize("clip, grid", GRIDS)
+def test_hot_labels_of_a_grid_are_those_of_its_clips(spark, clip, grid):
+    files, boxes = tables(spark)
+    for least, part in ((0.05, None), (0.2, 0.5)):
+        want = rows(ann.labels_on_clips(clips.clip_grid(files, clip, **grid), boxes, ["y", "x"], least, part))
+        assert rows(ann.clip_labels(files, boxes, ["y", "x"], clip, least, part, **grid)) == want
+
+
+def test_hot_labels_of_fractions_broadcast_nothing(spark):
+    files, boxes = tables(spark)
+    assert "Broadcast" not in plan_after_run(ann.labels_on_clips(clips.clip_grid(files, 5.0), boxes, ["x"], 0.2))
+    assert "Broadcast" not in plan_after_run(entry.queries()["labels_multihot_fraction"](spark, SMALL))

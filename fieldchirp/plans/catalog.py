@@ -129,7 +129,7 @@ _IDX = "list_position([" + _IN + "], a.annotation) - 1"
 
 @query(f"with {ANN}, {FILES}, {_grid_sql(5.0, 5.0, 'extend')}, h as (select c.file, c.start_time, cast({_IDX} as integer) i from {_HIT} where {_OV} >= 0.2 and a.annotation in ({_IN})), l as (select file, start_time, list_sort(list(distinct i)) labels from h group by 1, 2) select c.file, c.start_time, c.end_time, array_to_string(coalesce(l.labels, []), ',') labels from clips c left join l on c.file = l.file and c.start_time = l.start_time")
 def labels_integer_lists(s, d):
-    out = ann.label_lists_on_clips(_grid(s, d), annotations(s, d), CLASSES, 0.2, integers=True)
+    out = ann.clip_label_lists(files(s, d), annotations(s, d), CLASSES, 5.0, 0.2, integers=True)
     return out.withColumn("labels", F.array_join(F.col("labels").cast("array<string>"), ","))
 
 

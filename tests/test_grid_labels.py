@@ -67,3 +67,7 @@ def test_hot_labels_of_fractions_broadcast_nothing(spark):
     files, boxes = tables(spark)
     assert "Broadcast" not in plan_after_run(ann.labels_on_clips(clips.clip_grid(files, 5.0), boxes, ["x"], 0.2))
     assert "Broadcast" not in plan_after_run(entry.queries()["labels_multihot_fraction"](spark, SMALL))
+
+
+def test_integer_lists_broadcast_nothing(spark):
+    assert "Broadcast" not in plan_after_run(entry.queries()["labels_integer_lists"](spark, SMALL))

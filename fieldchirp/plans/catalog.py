@@ -101,10 +101,6 @@ _IN = ", ".join(f"'{c}'" for c in CLASSES)
 _CASES = ", ".join(f"coalesce(bool_or(h.annotation = '{c}'), false) \"{c}\"" for c in CLASSES)
 
 
-def _grid(s, d):
-    return clips.clip_grid(files(s, d).select("file", "duration"), 5.0)
-
-
 @query(f"with {ANN}, {FILES}, {_grid_sql(5.0, 5.0, 'extend')} select c.file, c.start_time, c.end_time, a.annotation, a.start_time ann_start, a.end_time ann_end, {_OV} overlap from {_HIT} where {_OV} >= 0.2")
 def interval_join_overlap(s, d):
     return ann.grid_matches(files(s, d), annotations(s, d), 5.0, 0.2)
@@ -116,7 +112,7 @@ def _multihot(where: str) -> str:
 
 @query(_multihot(f"{_OV} >= 0.2"))
 def labels_multihot(s, d):
-    return ann.labels_on_clips(_grid(s, d), annotations(s, d), CLASSES, 0.2)
+    return ann.clip_labels(files(s, d), annotations(s, d), CLASSES, 5.0, 0.2)
 
 
 @query(_multihot(f"{_OV} > 0 and ({_OV} >= 1.5 or ({_OV}) / (a.end_time - a.start_time) >= 0.5)"))

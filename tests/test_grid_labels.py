@@ -71,3 +71,7 @@ def test_hot_labels_of_fractions_broadcast_nothing(spark):
 
 def test_integer_lists_broadcast_nothing(spark):
     assert "Broadcast" not in plan_after_run(entry.queries()["labels_integer_lists"](spark, SMALL))
+
+
+def test_multihot_broadcasts_nothing(spark):
+    assert "Broadcast" not in plan_after_run(entry.queries()["labels_multihot"](spark, SMALL))
